@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontamination, minhash, sharding
+from quillstone.llm import decontamination, langid, licenses, minhash, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.classify(_table(spark, sf_dir, "documents"))
+
+
+def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitize(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +31,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op7_minhash_near_dedup, op9_benchmark_decontamination)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii_sanitisation, op4_sharding, op7_minhash_near_dedup, op9_benchmark_decontamination, op10_license_scan)}
 ORACLES = {"op4_sharding": sharding.sql()}
