@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontamination, langid, licenses, minhash, pii, sharding
+from quillstone.llm import decontamination, langid, licenses, minhash, ngram_lm, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitize(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +43,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii_sanitisation, op4_sharding, op7_minhash_near_dedup, op9_benchmark_decontamination, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_lm_scoring, op3_pii_sanitisation, op4_sharding, op6_packing, op7_minhash_near_dedup, op9_benchmark_decontamination, op10_license_scan,
+    )
+}
 ORACLES = {"op4_sharding": sharding.sql()}
