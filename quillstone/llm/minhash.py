@@ -232,8 +232,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
+def verified(cand: DataFrame, source: DataFrame, threshold: float, tag: str) -> DataFrame:
+    """The pairs ``(a, b, jaccard)`` of ``cand`` whose shingle sets reach ``threshold``; the sets are made anew for the documents that take part."""
+    n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = cand.select(F.col("a").alias("lead"), F.col("b").alias("id")).union(cand.select("a", "a").distinct())
+    need = materialize(member.select("id").distinct(), f"{tag}-members")
+    grams = joined(source, need, "id", "left_semi", SMALL).mapInArrow(_sets, "id long, grams binary")
+    sets = member.join(grams, "id").select("lead", "id", "grams")
+    near = sets.repartition(n, "lead").sortWithinPartitions("lead", "id").mapInArrow(lambda it: _verify(it, threshold), "a long, b long, jaccard double")
+    return materialize(near, tag)
+
+
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """``(same, near)``: ids ``(a, b)`` of equal word sequences (a the least), and verified pairs ``(a, b, jaccard)`` between the least ids."""
+    """``(same, near)``: ids ``(a, b)`` of equal word sequences (a the least), and verified pairs ``(a, b, jaccard)`` between the least ids.
+
+    Verified are each document's pair with its least partner, then all pairs which that leaves in different components. The
+    others could join nothing.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") > 0))
     feats = materialize(source.mapInArrow(_features, _FEATURES), "signatures")
     keys = feats.select("x1", "x2", "id")
@@ -244,12 +259,12 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     found = rows.repartition(int(n), "key").sortWithinPartitions("key", "id").mapInArrow(lambda it: _candidates(it, threshold - 0.2, threshold + 0.1), "a long, b long")
     cand = materialize(found.distinct(), "candidates")
-    member = cand.select(F.col("a").alias("lead"), F.col("b").alias("id")).union(cand.select("a", "a").distinct())
-    need = materialize(member.select("id").distinct(), "members")
-    grams = joined(source, need, "id", "left_semi", SMALL).mapInArrow(_sets, "id long, grams binary")
-    sets = member.join(grams, "id").select("lead", "id", "grams")
-    near = sets.repartition(int(n), "lead").sortWithinPartitions("lead", "id").mapInArrow(lambda it: _verify(it, threshold), "a long, b long, jaccard double")
-    return same, materialize(near, "near")
+    stars = verified(materialize(cand.groupBy("b").agg(F.min("a").alias("a")), "stars"), source, threshold, "near-stars")
+    lab = components(stars)
+    side = [lab.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+    open_ = cand.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    rest = verified(materialize(open_, "open"), source, threshold, "near-rest")
+    return same, stars.unionByName(rest)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
