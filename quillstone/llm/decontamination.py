@@ -97,13 +97,17 @@ def find(text: str, auto, lens: list[int], min_run: int = MIN_RUN) -> list[tuple
 _built: dict = {}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _held(held, gram: int, min_words: int) -> tuple:
     items = held.value
     key = (id(items), gram, min_words)
     if key not in _built:
         _built.clear()
         _built[key] = (items, *automaton(items, gram, min_words))
-    _, auto, lens = _built[key]
+    return _built[key]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    items, auto, lens = _held(held, gram, min_words)
     for b in batches:
         rows: list[list] = [[], [], [], [], [], []]
         if auto is not None:
@@ -115,11 +119,15 @@ def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "item_id", "start", "end", "n_words", "passage"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, min_run: int = MIN_RUN, min_words: int = MIN_WORDS, most_chars: int = MOST_CHARS) -> DataFrame:
-    """``(doc_id, item_id, start, end, n_words, passage)`` of each benchmark run found in ``docs``; ``passage`` is ``text[start:end]``."""
-    spark = docs.sparkSession
+def _filter(batches: Iterator[pa.RecordBatch], held, at: int, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The rows without a run that counts; the text is column ``at``."""
+    _, auto, lens = _held(held, gram, min_words)
+    for b in batches:
+        yield b if auto is None else b.filter(pa.array([not (t and find(t, auto, lens, min_run)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str, most_chars: int) -> list[list[tuple[int, str]]]:
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     parts: list[list[tuple[int, str]]] = [[]]
     size = 0
     for r in items.orderBy("i", "t").toLocalIterator():  # one part at a time is what a worker holds
@@ -128,9 +136,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             size = 0
         parts[-1].append((r.i, r.t))
         size += len(r.t)
+    return parts
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, min_run: int = MIN_RUN, min_words: int = MIN_WORDS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``(doc_id, item_id, start, end, n_words, passage)`` of each benchmark run found in ``docs``; ``passage`` is ``text[start:end]``."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     found = None
-    for part in parts:
+    for part in _parts(benchmark, item_col, item_text_col, most_chars):
         held = spark.sparkContext.broadcast(part)
         one = source.mapInArrow(lambda it, held=held: _scan(it, held, gram, min_run, min_words), SCHEMA)
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, min_run: int = MIN_RUN, min_words: int = MIN_WORDS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark run; one pass over the rows, no join."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    out = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    for part in _parts(benchmark, item_col, item_text_col, most_chars):
+        held = docs.sparkSession.sparkContext.broadcast(part)
+        out = out.mapInArrow(lambda it, held=held: _filter(it, held, at, gram, min_run, min_words), out.schema)
+    return out.toDF(*names)
