@@ -182,9 +182,16 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = FIT_ROWS) -> Model:
-    """Train on the ``rows`` labelled rows of least hash of id and text: the same rows however the table is partitioned."""
-    some = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("t"), F.col(label_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col)).alias("k"))
-    return train([(r.t, r.l) for r in some.orderBy("h", "k").limit(rows).collect()])
+    """Train on about ``rows`` labelled rows, those of least hash of the id: the same rows however the table is partitioned.
+
+    The rows' number decides how small the hash must be, so tasks return the sample's rows only.
+    """
+    labelled = docs.where(F.col(label_col).isNotNull())
+    share = min(1.0, 1.25 * rows / max(labelled.count(), 1))
+    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.substring(text_col, 1, 100)))
+    some = labelled.select(F.col(text_col).alias("t"), F.col(label_col).alias("l"), h.alias("h")).where(F.col("h") <= -(2**63) + int(share * 2**53) * 2**11 - 1)
+    found = sorted(some.where(F.length("t") > 0).collect(), key=lambda r: (r.h, r.t, r.l))
+    return train([(r.t, r.l) for r in found[:rows]])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
