@@ -59,10 +59,12 @@ def entropy(text: Column) -> Column:
 def ngrams(words: Column, most: int) -> Column:
     """Structs (start, len, gram) of all runs of 1 to ``most`` words."""
     n = F.size(words)
-    out = []
-    for k in range(1, most + 1):
+
+    def of(k: int) -> Column:
         starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, k=k: F.struct(i.alias("start"), F.lit(k).alias("len"), F.array_join(F.slice(words, i + 1, k), " ").alias("gram"))))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(k).alias("len"), F.array_join(F.slice(words, i + 1, k), " ").alias("gram")))
+
+    out = [of(k) for k in range(1, most + 1)]
     return F.concat(*out) if len(out) > 1 else out[0]
 
 

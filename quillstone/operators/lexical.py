@@ -45,7 +45,8 @@ def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> Da
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hit = live.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", part.alias("part"))
-    return hit.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    summed = hit.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return summed.withColumn("score", F.round("score", 10))  # equal documents tie, whatever order their terms were summed in
 
 
 def top(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
@@ -63,7 +64,7 @@ def bm25_once(docs: DataFrame, text: str, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     wanted = [r.t for r in spark.range(1).select(F.explode(F.array_distinct(lexical_tokens(F.lit(text)))).alias("t")).collect()]
     t = docs.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    counts = [F.size(F.filter("t", lambda x, w=w: x == w)) for w in wanted]
+    counts = [F.size("t") - F.size(F.array_remove("t", w)) for w in wanted]
     rows = t.select("doc_id", F.size("t").alias("dl"), F.array(*counts).alias("tf"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(wanted))]).alias("df"))
 

@@ -121,7 +121,8 @@ def scan(queries: DataFrame, gazetteer: DataFrame, normalize: Callable[[Column],
     """
     if most is None:
         most = gazetteer.select(F.max(F.size(F.split("norm", " ")))).first()[0] or 0
-    grams = queries.select("query_id", F.explode(ngrams(tokens(normalize(F.col("text"))), max(most, 1))).alias("g")).select("query_id", "g.*")
+    normal = queries.select("query_id", normalize(F.col("text")).alias("n"))
+    grams = normal.select("query_id", F.explode(ngrams(tokens(F.col("n")), max(most, 1))).alias("g")).select("query_id", "g.*")
     found = grams.join(gazetteer.select(F.col("norm").alias("gram"), "ids"), "gram")
     per = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("neg_len"), "start", "gram", "ids"))).alias("m"))
     kept = per.select("query_id", F.explode(_suppress(F.col("m"))).alias("k")).groupBy("query_id", F.col("k.gram").alias("surface"), F.col("k.ids").alias("ids")).agg(F.min("k.start").alias("start"))
