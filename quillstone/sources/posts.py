@@ -6,13 +6,14 @@ import html
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from quillstone.functions.text import strip_html
 
 RAW = "array<struct<id:long,slug:string,title:struct<rendered:string>,link:string,date:string,content:struct<rendered:string>>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
