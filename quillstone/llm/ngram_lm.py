@@ -17,18 +17,18 @@ each time; an empty table gives an empty table; other columns, whatever their na
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quillstone.llm.common import materialize, mix64
 
 ORDER, BASE, HASHES, LEAST_HASHES, LAMBDA = 5, 1.5, 8, 2, 0.75
 SEGMENT_BITS, MAX_BYTES = 1 << 23, 256 << 20
-FLUSH = 400_000
 _START, _END, TOTAL = 2, 3, -1  # TOTAL: the key under which all symbols are counted
 _M, _L = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -37,8 +37,21 @@ def _salt(j: int) -> np.uint64:
     return np.uint64(j * int(_L) & 0xFFFFFFFFFFFFFFFF)
 
 
+def vocabulary(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct lower-cased words of the texts, the number of each word in turn, and how many words each text has."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = lists.flatten().dictionary_encode()
+    words, codes, counts = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+    if "" in words:  # white space at either end
+        empty = codes == words.index("")
+        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[empty], minlength=len(counts))
+        codes = codes[~empty]
+    return words, codes, counts
+
+
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
+    words, codes, _ = vocabulary(pa.array([text]))
+    return [words[c] for c in codes]
 
 
 def positions(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,29 +84,18 @@ def value(q, base: float = BASE):
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
-
-    def out() -> Iterator[pa.RecordBatch]:
-        words = list(held)
-        symbols = sum((len(w) + 1) * c for w, c in held.items())
+    for b in batches:
+        words, codes, _ = vocabulary(b.column(0))
+        n = np.bincount(codes, minlength=len(words))
+        symbols = sum((len(w) + 1) * int(c) for w, c in zip(words, n))
         yield pa.RecordBatch.from_arrays([pa.array([TOTAL], pa.int64()), pa.array([symbols], pa.int64())], names=["h", "c"])
-        n = np.fromiter(held.values(), np.int64, len(words))
         for lo in range(0, len(words), 100_000):
             data, depth, word = positions(words[lo : lo + 100_000])
             for k in range(1, order + 1):
                 h, at = grams(data, depth, k)
-                keys, inverse = np.unique(h, return_inverse=True)
+                inverse, keys = pd.factorize(h)  # by hashing: cheaper than sorting
                 c = np.bincount(inverse, weights=n[lo + word[at]], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], names=["h", "c"])
-        held.clear()
-
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            held.update(tokens(t))
-            if len(held) >= FLUSH:
-                yield from out()
-    if held:
-        yield from out()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[c > 0]), pa.array(c[c > 0])], names=["h", "c"])
 
 
 def enter(bits: np.ndarray, h: np.ndarray, q: np.ndarray, hashes: int) -> None:
@@ -150,7 +152,7 @@ class Filter:
         counts = []
         for k in range(1, order + 1):
             h, at = grams(data, depth, k)
-            keys, inverse = np.unique(h, return_inverse=True)
+            inverse, keys = pd.factorize(h)  # by hashing: cheaper than sorting
             full = np.zeros(len(data))
             full[at] = value(self.levels(keys), self.base)[inverse]
             counts.append(full)
@@ -167,14 +169,15 @@ class Filter:
 def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> Iterator[pa.RecordBatch]:
     model: Filter = held.value
     for b in batches:
-        index: dict[str, int] = {}
-        put = index.setdefault
-        each = [np.array([put(w, len(index)) for w in tokens(t or "")], np.int64) for t in b.column(1).to_pylist()]
-        words = list(index)
-        bits = np.concatenate([model.word_bits(words[lo : lo + 50_000], order, lam) for lo in range(0, len(words), 50_000)]) if words else np.zeros(0)
+        words, codes, n_words = vocabulary(b.column(1))
+        bits = np.concatenate([model.word_bits(words[lo : lo + 100_000], order, lam) for lo in range(0, len(words), 100_000)]) if words else np.zeros(0)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        lp, n = [float(bits[w].sum()) for w in each], [int(size[w].sum()) for w in each]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lp, pa.float64()), pa.array([-x / m if m else None for x, m in zip(lp, n)], pa.float64())], names=["doc_id", "n_symbols", "log2_prob", "bits_per_char"])
+        some = np.flatnonzero(n_words)
+        first = (np.cumsum(n_words) - n_words)[some]
+        lp, n = np.zeros(len(n_words)), np.zeros(len(n_words), np.int64)
+        if len(some):
+            lp[some], n[some] = np.add.reduceat(bits[codes], first), np.add.reduceat(size[codes], first)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lp, pa.float64()), pa.array(-lp / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_symbols", "log2_prob", "bits_per_char"])
 
 
 def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
