@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -133,3 +137,18 @@ def word_hashes(texts: list[str]):
         h_all = np.concatenate(acc_h) if acc_h else np.empty(0, np.uint64)
         i_all = np.concatenate(acc_i) if acc_i else np.empty(0, np.int64)
         yield at, np.bincount(i_all - at, minlength=len(texts) - at), h_all
+
+
+def frugal(f):
+    """Let a function over Arrow batches give its memory back when a partition ends: workers are reused, and what they keep adds up over stages."""
+
+    @functools.wraps(f)
+    def run(batches, *args, **kw):
+        try:
+            yield from f(batches, *args, **kw)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _TRIM:
+                _TRIM(0)
+
+    return run

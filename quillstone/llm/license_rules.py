@@ -2,7 +2,7 @@
 
 Priorities: 5 a tag made for machines, 4 sentences of a licence's own text, 3 a notice that names licence and version, 2 a licence's name
 where something is put under it, 1 a bare name or address, 0 words that only claim rights. A space stands for any white space. A rule is tried
-only on texts that hold its keyword (lower case). Of equal priority, the earlier and more special rule stands first.
+only on texts that hold its keyword (lower case, a hyphen or any white space being one space). Of equal priority, the earlier and more special rule stands first.
 """
 
 SPDX_IDS = """
@@ -30,7 +30,7 @@ RULES = r"""
 4 ; Zlib ; provided 'as-is' ; this software is provided 'as-is', without any express or implied warranty\. in no event
 4 ; Unlicense ; released into the public domain ; this is free and unencumbered software released into the public domain
 4 ; BSL-1.0 ; obtaining a copy of the software and accompanying ; any person or organization obtaining a copy of the software and accompanying documentation covered by this license
-4 ; WTFPL ; do what the fuck ; do what the fuck you want to public license|you just do what the fuck you want to
+4 ; WTFPL ; do what the fuck ; (you just )?do what the fuck you want to( public license)?
 4 ; Apache-2.0 ; http://www.apache.org/licenses ; you may not use this file except in compliance with the license\. you may obtain a copy of the license at https?://www\.apache\.org/licenses/license-2\.0
 4 ; Apache-2.0 ; grant of patent license ; grant of patent license\. subject to the terms and conditions of this license, each contributor hereby grants
 4 ; Apache-1.1 ; apache software foundation ; this product includes software developed by the apache software foundation
@@ -59,7 +59,8 @@ RULES = r"""
 4 ; OFL-1.1 ; sil open font ; this font software is licensed under the sil open font license, version 1\.1
 4 ; CC0-1.0 ; waived all copyright ; has waived all copyright and related or neighboring rights
 4 ; CC0-1.0 ; dedicated to the public domain ; dedicated to the public domain by waiving all of (his|her|their) rights
-4 ; SSPL-1.0 ; server side public ; making the functionality of the program .{0,40}?available to third parties as a service|server side public license, version 1
+4 ; SSPL-1.0 ; third parties as a service ; making the functionality of the program .{0,40}?available to third parties as a service
+4 ; SSPL-1.0 ; server side public ; server side public license, version 1
 4 ; BUSL-1.1 ; business source ; the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use
 4 ; Elastic-2.0 ; hosted or managed service ; you may not provide the software to third parties as a hosted or managed service
 4 ; Commons-Clause ; commons clause ; without limiting other conditions in the license, the grant of rights .{0,80}?does not include.{0,60}?the right to sell
@@ -79,7 +80,7 @@ RULES = r"""
 4 ; Vim ; vim ; there are no restrictions on distributing unmodified copies of vim
 4 ; curl ; daniel stenberg ; copyright \(c\) .{0,40}?daniel stenberg.{0,60}?and many contributors
 4 ; Unicode-DFS ; unicode ; permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files
-4 ; UPL-1.0 ; larger works ; to use, reproduce, .{0,60}?the larger works? \(as defined below\)|universal permissive license
+4 ; UPL-1.0 ; universal permissive ; universal permissive license
 4 ; MS-PL ; microsoft public ; microsoft public license \(ms-pl\)
 4 ; MS-RL ; microsoft reciprocal ; microsoft reciprocal license \(ms-rl\)
 4 ; EUPL-1.2 ; eupl ; licensed under the eupl,? version 1\.2
@@ -136,14 +137,14 @@ RULES = r"""
 3 ; CC-BY-4.0 ; cc by ; (licensed|released|distributed|available) under (a |the )?cc[- ]by[- ]?4\.0
 3 ; CC-BY-3.0 ; cc by ; (licensed|released|distributed|available) under (a |the )?cc[- ]by[- ]?3\.0
 3 ; CC0-1.0 ; cc0 ; (licensed|released|distributed|available|dedicated) (under|with|to) (the )?cc0( 1\.0)?( universal)?
-3 ; CC-BY-NC-ND-4.0 ; attribution-noncommercial-noderiv ; creative commons attribution[- ]non-?commercial[- ]no-?deriv(ative)?s?( works)? 4\.0( international)?
-3 ; CC-BY-NC-ND-3.0 ; attribution-noncommercial-noderiv ; creative commons attribution[- ]non-?commercial[- ]no-?deriv(ative)?s?( works)? 3\.0( unported)?
-3 ; CC-BY-NC-SA-4.0 ; attribution-noncommercial-sharealike ; creative commons attribution[- ]non-?commercial[- ]share-?alike 4\.0( international)?
-3 ; CC-BY-NC-SA-3.0 ; attribution-noncommercial-sharealike ; creative commons attribution[- ]non-?commercial[- ]share-?alike 3\.0( unported)?
-3 ; CC-BY-NC-4.0 ; attribution-noncommercial ; creative commons attribution[- ]non-?commercial 4\.0( international)?
-3 ; CC-BY-NC-3.0 ; attribution-noncommercial ; creative commons attribution[- ]non-?commercial 3\.0( unported)?
-3 ; CC-BY-SA-4.0 ; attribution-sharealike ; creative commons attribution[- ]share-?alike 4\.0( international)?
-3 ; CC-BY-SA-3.0 ; attribution-sharealike ; creative commons attribution[- ]share-?alike 3\.0( unported)?
+3 ; CC-BY-NC-ND-4.0 ; creative commons attribution ; creative commons attribution[- ]non-?commercial[- ]no-?deriv(ative)?s?( works)? 4\.0( international)?
+3 ; CC-BY-NC-ND-3.0 ; creative commons attribution ; creative commons attribution[- ]non-?commercial[- ]no-?deriv(ative)?s?( works)? 3\.0( unported)?
+3 ; CC-BY-NC-SA-4.0 ; creative commons attribution ; creative commons attribution[- ]non-?commercial[- ]share-?alike 4\.0( international)?
+3 ; CC-BY-NC-SA-3.0 ; creative commons attribution ; creative commons attribution[- ]non-?commercial[- ]share-?alike 3\.0( unported)?
+3 ; CC-BY-NC-4.0 ; creative commons attribution ; creative commons attribution[- ]non-?commercial 4\.0( international)?
+3 ; CC-BY-NC-3.0 ; creative commons attribution ; creative commons attribution[- ]non-?commercial 3\.0( unported)?
+3 ; CC-BY-SA-4.0 ; creative commons attribution ; creative commons attribution[- ]share-?alike 4\.0( international)?
+3 ; CC-BY-SA-3.0 ; creative commons attribution ; creative commons attribution[- ]share-?alike 3\.0( unported)?
 3 ; CC-BY-4.0 ; creative commons attribution ; creative commons attribution 4\.0( international)?
 3 ; CC-BY-3.0 ; creative commons attribution ; creative commons attribution 3\.0( unported)?
 3 ; Artistic-2.0 ; artistic ; (licensed|released|distributed|available) under (the )?artistic licen[cs]e,?( version| v\.?)? ?2(\.0)?
@@ -155,7 +156,8 @@ RULES = r"""
 3 ; Zlib ; zlib ; (licensed|released|distributed|available) under (the )?zlib(/libpng)? licen[cs]e
 3 ; Unlicense ; unlicense ; (licensed|released|distributed|available) under (the )?unlicense
 3 ; WTFPL ; wtfpl ; (licensed|released|distributed|available) under (the )?wtfpl
-3 ; PSF-2.0 ; python software foundation ; (licensed|released|distributed|available) under (the )?(psf|python software foundation) licen[cs]e
+3 ; PSF-2.0 ; python software foundation ; (licensed|released|distributed|available) under (the )?python software foundation licen[cs]e
+3 ; PSF-2.0 ; psf licen ; (licensed|released|distributed|available) under (the )?psf licen[cs]e
 3 ; PostgreSQL ; postgresql licen ; (licensed|released|distributed|available) under (the )?postgresql licen[cs]e
 3 ; BUSL-1.1 ; business source ; (licensed|released|distributed|available) under (the )?business source licen[cs]e,?( version| v\.?)? ?1\.1
 3 ; SSPL-1.0 ; sspl ; (licensed|released|distributed|available) under (the )?sspl( ?v?1(\.0)?)?
@@ -207,8 +209,8 @@ RULES = r"""
 2 ; CC-BY ; cc by ; \bcc by\b
 2 ; CC-BY ; cc-by ; \bcc-by\b
 2 ; CC0-1.0 ; cc0 ; \bcc0\b
-2 ; CC-BY-SA ; attribution-sharealike ; creative commons attribution[- ]share-?alike
-2 ; CC-BY-NC ; attribution-noncommercial ; creative commons attribution[- ]non-?commercial
+2 ; CC-BY-SA ; creative commons attribution ; creative commons attribution[- ]share-?alike
+2 ; CC-BY-NC ; creative commons attribution ; creative commons attribution[- ]non-?commercial
 2 ; CC-BY ; creative commons attribution ; creative commons attribution
 2 ; CC ; creative commons ; creative commons( licen[cs]e)?
 2 ; public-domain ; public domain ; (placed|released|dedicated|is|are) (in|into|to) the public domain

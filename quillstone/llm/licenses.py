@@ -1,6 +1,6 @@
 """Operator 10: licence scan by ordered signature rules.
 
-Hundreds of hand-written expressions (``license_rules``) are gated by keywords: one Aho-Corasick pass over the lower-cased text tells
+Hundreds of hand-written expressions (``license_rules``) are gated by keywords: one Aho-Corasick pass over the text (lower case, hyphens and white space alike) tells
 which keywords occur, and only their rules are tried, on the whole text. Detections are taken by priority, then length, then place, then order of
 the rules; one whose interval lies within that of one already taken, or holds it, is suppressed. Those which merely overlap both stand.
 The operator is one pass without a shuffle.
@@ -19,17 +19,23 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillstone.llm.common import frugal
 from quillstone.llm.license_rules import rules
 
 SCHEMA = "doc_id long, license string, rule string, priority int, start long, end long, matched string"
 
 
+def gated(text: str) -> str:
+    """A text as the keywords see it."""
+    return " ".join(text.lower().replace("-", " ").split())
+
+
 class Scanner:
     def __init__(self) -> None:
         self.rules = [(r, p, lic, re.compile(e, re.IGNORECASE | re.DOTALL)) for r, p, lic, _, e in rules()]
         by: dict[str, list[int]] = {}
         for n, (_, _, _, keyword, _) in enumerate(rules()):
-            by.setdefault(keyword, []).append(n)
+            by.setdefault(gated(keyword), []).append(n)
         self.auto = ahocorasick.Automaton()
         for keyword, own in by.items():
             self.auto.add_word(keyword, own)
@@ -37,7 +43,7 @@ class Scanner:
 
     def detections(self, text: str) -> list[tuple[int, int, int]]:
         """All (start, end, index of rule), before suppression."""
-        live = {n for _, own in self.auto.iter(text.lower()) for n in own}
+        live = {n for _, own in self.auto.iter(gated(text)) for n in own}
         return [(m.start(), m.end(), n) for n in live for m in self.rules[n][3].finditer(text) if m.end() > m.start()]
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
@@ -54,6 +60,7 @@ class Scanner:
 _scanner: list[Scanner] = []
 
 
+@frugal
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _scanner:
         _scanner.append(Scanner())
