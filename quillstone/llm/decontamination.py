@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillstone.llm.common import frugal
+
 GRAM, MIN_RUN, MIN_WORDS, MOST_CHARS = 8, 13, 5, 20_000_000
 SCHEMA = "doc_id long, item_id long, start long, end long, n_words int, passage string"
 _GAP = re.compile(r"[\W_]+")
@@ -106,6 +108,7 @@ def _held(held, gram: int, min_words: int) -> tuple:
     return _built[key]
 
 
+@frugal
 def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
     items, auto, lens = _held(held, gram, min_words)
     for b in batches:
@@ -119,6 +122,7 @@ def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "item_id", "start", "end", "n_words", "passage"])
 
 
+@frugal
 def _filter(batches: Iterator[pa.RecordBatch], held, at: int, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """The rows without a run that counts; the text is column ``at``."""
     _, auto, lens = _held(held, gram, min_words)

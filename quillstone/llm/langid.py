@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.llm.common import fresh
+from quillstone.llm.common import fresh, frugal
 
 FIT_ROWS, BUCKETS, DIM, EPOCHS, RATE = 6000, 1 << 18, 16, 4, 1.5
 ORDERS = (2, 3, 4)
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     return train([(r.t, r.l) for r in found[:rows]])
 
 
+@frugal
 def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     """Columns (text, others...) to (others..., language, confidence, known, accepted)."""
     for b in batches:

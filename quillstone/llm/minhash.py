@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillstone.llm.common import fresh, joined, materialize, mix64, word_hashes
+from quillstone.llm.common import fresh, frugal, joined, materialize, mix64, word_hashes
 
 SHINGLE, K, ROWS, THRESHOLD = 3, 128, 4, 0.55
 SMALL = 2_000_000
@@ -121,6 +121,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _FEATURES = "id long, x1 long, x2 long, sketch binary, bands array<long>"
 
 
+@frugal
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "x1", "x2", "sketch", "bands"]
     for b in batches:
@@ -154,6 +155,7 @@ def _bucket(ids: np.ndarray, sk: np.ndarray, low: float, sure: float) -> Iterato
             yield np.minimum(a, c), np.maximum(a, c)
 
 
+@frugal
 def _candidates(batches: Iterator[pa.RecordBatch], low: float, sure: float) -> Iterator[pa.RecordBatch]:
     """Rows (band key, id, sketch) sorted by both, to pairs (a, b) with a < b."""
     held: tuple = ()
@@ -187,6 +189,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], low: float, sure: float) -> I
         yield out(*held)
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
@@ -195,6 +198,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(first, len(per)), pa.array([np.unique(p).tobytes() for p in parts], pa.binary())], names=["id", "grams"])
 
 
+@frugal
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (lead, id, grams) sorted by both: the lead itself first, then its partners."""
     lead, own = None, np.empty(0, np.uint64)

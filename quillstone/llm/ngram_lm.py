@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.llm.common import materialize, mix64
+from quillstone.llm.common import frugal, materialize, mix64
 
 ORDER, BASE, HASHES, LEAST_HASHES, LAMBDA = 5, 1.5, 8, 2, 0.75
 SEGMENT_BITS, MAX_BYTES = 1 << 23, 256 << 20
@@ -42,8 +42,9 @@ def vocabulary(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat = lists.flatten().dictionary_encode()
     words, codes, counts = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-    if "" in words:  # white space at either end
-        empty = codes == words.index("")
+    blank = np.array([not w or w.isspace() for w in words], bool)
+    if blank.any():  # white space at either end of a text
+        empty = blank[codes]
         counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[empty], minlength=len(counts))
         codes = codes[~empty]
     return words, codes, counts
@@ -83,6 +84,7 @@ def value(q, base: float = BASE):
     return np.where(q > 0, np.power(base, np.maximum(q, 1) - 1.0) * (1 + base) / 2, 0.0)
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words, codes, _ = vocabulary(b.column(0))
@@ -107,6 +109,7 @@ def enter(bits: np.ndarray, h: np.ndarray, q: np.ndarray, hashes: int) -> None:
             bits[((a + np.uint64(i) * step) % np.uint64(len(bits))).astype(np.int64)] = 1
 
 
+@frugal
 def _build(batches: Iterator[pa.RecordBatch], segments: int, hashes: int, base: float) -> Iterator[pa.RecordBatch]:
     """Rows (h, c), those of a segment together, to (segment, bits)."""
     held: dict[int, np.ndarray] = {}
@@ -166,6 +169,7 @@ class Filter:
         return np.bincount(word[live], weights=np.log2(np.minimum(p[live], 1.0)), minlength=len(words))
 
 
+@frugal
 def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> Iterator[pa.RecordBatch]:
     model: Filter = held.value
     for b in batches:

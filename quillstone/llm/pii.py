@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.llm.common import fresh, joined, materialize
+from quillstone.llm.common import fresh, frugal, joined, materialize
 
 WINDOW, SUPPORT, THRESHOLD, REMOVE = 5, 2, 0.8, 0.97
 SMALL, MOST_TERMS = 2_000_000, 1_000_000
@@ -68,6 +68,7 @@ def contexts(text: str, found: list[tuple[int, int, str, str]], window: int = WI
     return out
 
 
+@frugal
 def _mentions(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ent, doc, ctx, terms = [], [], [], []
@@ -80,6 +81,7 @@ def _mentions(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(doc, pa.int64()), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "doc", "ctx", "terms"])
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     wanted, n = held.value, dict.fromkeys(held.value, 0)
     for b in batches:
@@ -143,6 +145,7 @@ def rewrite(text: str, general: frozenset[str] = frozenset(), removed: frozenset
     return "".join([*out, plain(text[at:])]), len(found), n_terms
 
 
+@frugal
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns (text, general, removed, others...) to (text, others..., n_entities, n_terms)."""
     for b in batches:

@@ -74,6 +74,16 @@ def test_against_brute_force(spark, small):
             assert got[i].text.split() == left and got[i].n_tokens == sum(w != "\n" for w in s) and got[i].host == h
 
 
+@pytest.mark.parametrize("min_pages", [2, 3])
+def test_blocks_give_the_same(spark, small, min_pages):
+    p = spark.read.parquet(f"{small}/pages.parquet")
+    one = sorted(map(str, H.extract(p, min_pages=min_pages).collect()))
+    assert sorted(map(str, H.extract(p, min_pages=min_pages, block=15000).collect())) == one
+    rows = [(i, "http://a.example", f"<p>{words('same', 12)}</p><p>{words(f'x{i}y', 12)}</p>") for i in range(3)]
+    got = H.extract(page(spark, *rows), block=60).collect()
+    assert sorted(r.text for r in got) == [words(f"x{i}y", 12) for i in range(3)]
+
+
 def test_hosts(spark):
     urls = {"http://A.Example:80/x": "a.example", "https://u:p@b.example?q=1": "b.example", "nonsense": "", None: "", "ftp://c.example#f": "c.example"}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
