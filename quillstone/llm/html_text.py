@@ -4,7 +4,9 @@ Pages become streams of words, with a token of its own before each block and at
 page, and a suffix array sorted by the first ``MIN_TOKENS`` tokens is built by prefix doubling. Suffixes that agree that far and stand on ``MIN_PAGES``
 distinct pages or more mark a repeated substring; longer ones are chains of such suffixes. Tokens covered by one are dropped, what is left is a page's text.
 
-One shuffle, of extracted text by host. A host is one task: about 40 bytes a token, so 100 million tokens need 4 GB.
+One shuffle, of extracted text by host. A host of more than ``BLOCK`` characters of markup is dealt out over blocks by a hash of the page, each with a suffix array
+of its own, so that no task grows with a host (about 40 bytes a token are held). What is repeated only across blocks is found by a 64-bit fingerprint of every window of
+``MIN_TOKENS`` tokens of such hosts: those of ``MIN_PAGES`` pages go back to the blocks that hold them, and count as if their own array had shown them. Results don't depend on the blocks.
 
 Defined cases: null or empty pages give empty text; a page without a host (null or malformed url) is compared with others of no host; rows that repeat a page_id
 are one page, so they don't make each other boilerplate; pages copied in full under other ids are repeated substrings as a whole, and come out empty; an
@@ -13,6 +15,7 @@ empty table gives an empty table; other columns, whatever their names, are not r
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,8 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-MIN_TOKENS, MIN_PAGES = 8, 2
+from quillstone.llm.common import frugal, materialize, mix64
 
+MIN_TOKENS, MIN_PAGES, BLOCK = 8, 2, 128 << 20
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
 _INLINE = re.compile(r"</?(?:a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)(?:\s[^>]*)?>", re.IGNORECASE)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
@@ -39,8 +45,33 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def repeated(ids: np.ndarray, page: np.ndarray, size: int = MIN_TOKENS, pages: int = MIN_PAGES) -> np.ndarray:
-    """Which tokens lie in a substring of ``size`` tokens that stands on ``pages`` distinct pages.
+def fingerprints(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` token hashes."""
+    n = max(len(tokens) - size + 1, 0)
+    f = np.zeros(n, np.uint64)
+    for j in range(size):
+        f = mix64((f ^ tokens[j : j + n]) * _ODD)
+    return f
+
+
+def token_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _streams(texts: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """The distinct tokens (the first is the break before a block), each text as numbers of tokens, and the line of each."""
+    words: dict[str, int] = {"\n": 0}
+    put = words.setdefault
+    streams, lines = [], []
+    for t in texts:
+        own = [[0, *[put(w, len(words)) for w in r.split(" ")]] for r in t.split("\n")] if t else []
+        streams.append(np.array([*[x for r in own for x in r], 0], np.int32))
+        lines.append(np.repeat(np.arange(len(own) + 1, dtype=np.int32), [*[len(r) for r in own], 1]))
+    return list(words), streams, lines
+
+
+def repeated(ids: np.ndarray, page: np.ndarray, size: int = MIN_TOKENS, pages: int = MIN_PAGES, known: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens lie in a substring of ``size`` tokens that stands on ``pages`` distinct pages, or starts at a place in ``known``.
 
     ``ids`` are token ids below 2^31, unique for separators; ``page`` numbers the pages of the tokens.
     """
@@ -69,30 +100,31 @@ def repeated(ids: np.ndarray, page: np.ndarray, size: int = MIN_TOKENS, pages: i
         run = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, n)))
         many = np.bincount(np.unique(np.stack([run, p], 1), axis=0)[:, 0], minlength=len(cut)) >= pages
     starts = order[np.repeat(many, np.diff(np.append(cut, n)))]
+    if known is not None:
+        starts = np.union1d(starts, known)
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + size, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def unique_runs(ids: list[int], texts: list[str], size: int = MIN_TOKENS, pages: int = MIN_PAGES) -> list[tuple[str, int, int]]:
-    """For the pages of one host: the text that is left, tokens in all, and tokens dropped."""
-    words: dict[str, int] = {"\n": 0}
-    put = words.setdefault
-    streams, lines, number = [], [], {}
-    for i, t in zip(ids, texts):
-        own = [[0, *[put(w, len(words)) for w in r.split(" ")]] for r in t.split("\n")] if t else []
-        streams.append(np.array([*[x for r in own for x in r], 0], np.int32))
-        lines.append(np.repeat(np.arange(len(own) + 1, dtype=np.int32), [*[len(r) for r in own], 1]))
+def unique_runs(ids: list, texts: list[str], size: int = MIN_TOKENS, pages: int = MIN_PAGES, shared: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """For the pages of one block of a host: the text that is left, tokens in all, and tokens dropped. ``shared``: fingerprints repeated over blocks."""
+    back, streams, lines = _streams(texts)
+    number: dict = {}
+    for i in ids:
         number.setdefault(i, len(number))
-    back = list(words)
     ends = np.cumsum([len(s) + 1 for s in streams])
     all_ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
     page = np.repeat(np.array([number[i] for i in ids], np.int32), [len(s) + 1 for s in streams])
     for k, s in enumerate(streams):
         all_ids[ends[k] - 1 - len(s) : ends[k] - 1] = s
         all_ids[ends[k] - 1] = len(back) + k
-    drop = repeated(all_ids, page, size, pages)
+    known = None
+    if shared is not None and len(shared):
+        h = np.fromiter(map(token_hash, back), np.uint64, len(back))
+        known = np.concatenate([ends[k] - 1 - len(s) + np.flatnonzero(np.isin(fingerprints(h[s], size), shared)) for k, s in enumerate(streams)])
+    drop = repeated(all_ids, page, size, pages, known)
     del all_ids
     out = []
     for k, s in enumerate(streams):
@@ -106,19 +138,53 @@ def unique_runs(ids: list[int], texts: list[str], size: int = MIN_TOKENS, pages:
     return out
 
 
+@frugal
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([page_text(h) if h else "" for h in b.column(2).to_pylist()], pa.string())], names=["page_id", "host", "text"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([page_text(h) if h else "" for h in b.columns[-1].to_pylist()], pa.string())], names=["page_id", "host", "block", "text"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", size: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
+@frugal
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Columns (host, block, page, html) to the distinct (host, block, page, fp) of a batch's windows."""
+    for b in batches:
+        words, streams, _ = _streams([page_text(h) if h else "" for h in b.column(3).to_pylist()])
+        h = np.fromiter(map(token_hash, words), np.uint64, len(words))
+        each = [np.unique(fingerprints(h[s], size)) for s in streams]
+        at = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.concatenate(each).view(np.int64))], names=["host", "block", "page", "fp"])
+
+
+def _across(source: DataFrame, size: int, min_pages: int) -> DataFrame:
+    """``(host, block, fp)``: fingerprints of hosts of several blocks that stand on ``min_pages`` pages, for each block that holds them."""
+    w = source.where("blocks > 1").select("host", "block", F.xxhash64("page_id").alias("page"), "html").mapInArrow(lambda it: _windows(it, size), "host string, block int, page long, fp long")
+    if min_pages == 2:
+        many = w.groupBy("host", "fp").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.collect_set("block").alias("b")).where("lo < hi")
+    else:
+        many = w.groupBy("host", "fp").agg(F.count_distinct("page").alias("n"), F.collect_set("block").alias("b")).where(F.col("n") >= min_pages)
+    return many.select("host", F.explode("b").alias("block"), "fp")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", size: int = MIN_TOKENS, min_pages: int = MIN_PAGES, block: int = BLOCK) -> DataFrame:
     """``(page_id, host, text, n_tokens, n_dropped)`` for every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     source = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    texts = source.mapInArrow(_texts, f"page_id {kind}, host string, text string")
-
-    def one(t: pa.Table) -> pa.Table:
-        found = unique_runs(t.column("page_id").to_pylist(), t.column("text").to_pylist(), size, min_pages)
+    sizes = source.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / block).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = materialize(sizes, "large-hosts")  # at most one row for each ``block`` characters
+    large = not sizes.isEmpty()
+    if large:
+        source = source.join(F.broadcast(sizes), "host", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        source = source.withColumn("blocks", F.lit(1))
+    source = source.withColumn("block", F.pmod(F.xxhash64("page_id"), F.col("blocks")).cast("int"))
+    texts = source.select("page_id", "host", "block", "html").mapInArrow(_texts, f"page_id {kind}, host string, block int, text string")
+    out = f"page_id {kind}, host string, text string, n_tokens long, n_dropped long"
+
+    def one(t: pa.Table, fps: pa.Table | None = None) -> pa.Table:
+        shared = None if fps is None or not len(fps) else fps.column("fp").to_numpy().view(np.uint64)
+        found = unique_runs(t.column("page_id").to_pylist(), t.column("text").to_pylist(), size, min_pages, shared)
         return pa.table([t.column("page_id"), t.column("host"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["page_id", "host", "text", "n_tokens", "n_dropped"])
 
-    return texts.groupBy("host").applyInArrow(one, f"page_id {kind}, host string, text string, n_tokens long, n_dropped long")
+    if not large:
+        return texts.groupBy("host", "block").applyInArrow(lambda t: one(t), out)
+    return texts.groupBy("host", "block").cogroup(_across(source, size, min_pages).groupBy("host", "block")).applyInArrow(lambda t, fps: one(t, fps), out)
