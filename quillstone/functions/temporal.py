@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+Instant = str | None
+
 
 def within(start: Column, end: Column, at: str | Column | None) -> Column | None:
     """``start <= at < end``; None if there is nothing to test."""
@@ -13,7 +15,7 @@ def within(start: Column, end: Column, at: str | Column | None) -> Column | None
     return (start.isNull() | (start <= t)) & (end.isNull() | (t < end))
 
 
-def as_at(facts: DataFrame, valid_as_of: str | None = None, known_as_of: str | None = None) -> DataFrame:
+def as_at(facts: DataFrame, valid_as_of: Instant = None, known_as_of: Instant = None) -> DataFrame:
     """The facts true at one instant as known at another; a filter, so it is pushed into the scan."""
     for axis, at in (("valid", valid_as_of), ("known", known_as_of)):
         test = within(F.col(f"{axis}_from"), F.col(f"{axis}_until"), at)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import unicodedata
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
+from unicodedata import normalize as compose
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -14,12 +14,12 @@ PERMUTATIONS, BAND = 32, 4
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
-# -- normal form of the resolver -------------------------------------------------------------------------------------
+# normal form of the resolver
 
 
 def normal_form(text: str) -> str:
     """NFKC, case folding, then every run of what is neither letter nor number to one space, none at the ends."""
-    folded = unicodedata.normalize("NFKC", text).casefold()
+    folded = compose("NFKC", text).casefold()
     return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
 
 
@@ -78,7 +78,7 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 
 
-# -- lexical --------------------------------------------------------------------------------------------------------
+# lexical
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -92,7 +92,7 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-# -- vectors --------------------------------------------------------------------------------------------------------
+# vectors
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -111,12 +111,13 @@ def round6(x: Column) -> Column:
     return F.round(x, 6)
 
 
-# -- similarity of strings -------------------------------------------------------------------------------------------
+# similarity of strings
 
 
-def ratio_of_sorted(a: str, b: str) -> float:
+def ratio_of_sorted(one: str, other: str) -> float:
     """Matching ratio of two normal forms whose tokens were sorted; argument order matters for long strings."""
-    return SequenceMatcher(None, " ".join(sorted(a.split())), " ".join(sorted(b.split()))).ratio()
+    first, second = (" ".join(sorted(x.split())) for x in (one, other))
+    return SequenceMatcher(None, first, second).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -130,7 +131,7 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
-# -- MinHash of short names -------------------------------------------------------------------------------------------
+# MinHash of short names
 
 
 def trigrams(normal: str) -> set[bytes]:
@@ -157,7 +158,7 @@ def bands(sig: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND - 1)), lambda b: F.struct(b.alias("band"), F.slice(sig, b * BAND + 1, BAND).alias("rows")))
 
 
-# -- HTML ------------------------------------------------------------------------------------------------------------
+# HTML
 
 
 class _Plain(HTMLParser):

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 CHOSEN = "query_id {key}, doc_id string, content string, tokens int, rel double, mmr_score double, pick int"
 
 
-def _id_key(doc_id: str) -> tuple[int, ...]:
-    """Smaller ids are greater; of two that begin alike, the longer is."""
-    return tuple(-ord(c) for c in doc_id)
+def _id_key(name: str) -> list[int]:
+    """A sort key. Smaller ids are greater; of two that begin alike, the longer is."""
+    return [-ord(c) for c in name]
 
 
 def choose(tokens: list[int], rel: list[float], ids: list[str], vectors: list[list[float] | None], budget: int, lam: float, duplicate: float) -> list[tuple[int, float]]:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TIERS = ("none", "grep", "semantic", "graph", "composite")
+TIERS = tuple("none grep semantic graph composite".split())  # the cheapest first
 CUE_WORDS = ("between", "compare", "connect", "difference", "path", "related", "versus", "vs", "why")
 CUE_PHRASES = ("compared to", "history of", "what changed")
 FRESH = ("as of", "current", "latest", "now", "recent", "this month", "this week", "today", "up to date", "up-to-date")  # parts of words count, so longer forms need no entry

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.functions.temporal import as_at
+from quillstone.functions.temporal import Instant, as_at
 
 MOST_DEPTH = 3
 
@@ -16,7 +16,7 @@ def _checked(depth: int) -> None:
         raise ValueError(f"depth must lie in 0..{MOST_DEPTH}, not {depth}")
 
 
-def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, as_of: str | None = None, known_as_of: str | None = None) -> DataFrame:
+def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, as_of: Instant = None, known_as_of: Instant = None) -> DataFrame:
     """``(seed, node, hop)``: nodes within ``depth`` edges of each seed, at their least hop.
 
     ``seeds (seed)``, ``nodes (id)``, ``edges (src_id, target_id, times)``. Times are tested before the joins; a node met before doesn't spread again.
@@ -33,7 +33,7 @@ def reach(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2,
     return seen
 
 
-def traverse(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame, depth: int = 2, as_of: str | None = None, known_as_of: str | None = None) -> DataFrame:
+def traverse(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame, depth: int = 2, as_of: Instant = None, known_as_of: Instant = None) -> DataFrame:
     """``(seed, entity_id, doc_id, locator, hop, score, mode)``: documents of the nodes reached. Mode is ``flat`` if no edge exists at all, valid or not."""
     mode = "flat" if edges.isEmpty() else "graph"
     hits = reach(seeds, nodes, edges, depth, as_of, known_as_of).withColumnRenamed("node", "entity_id").join(refs, "entity_id")
@@ -44,7 +44,7 @@ def ordered(hits: DataFrame) -> DataFrame:
     return hits.orderBy("seed", "hop", "entity_id", "doc_id", F.coalesce("locator", F.lit("")))
 
 
-def traversal_sql(depth: int = 2, as_of: str | None = None, known_as_of: str | None = None) -> tuple[str, dict[str, str]]:
+def traversal_sql(depth: int = 2, as_of: Instant = None, known_as_of: Instant = None) -> tuple[str, dict[str, str]]:
     """The traversal of one seed as recursive SQL over views ``nodes``, ``edges``, ``refs``, and its named arguments (but ``seed``).
 
     Only the axes given are tested; depth is a checked literal, every string an argument.
@@ -65,7 +65,7 @@ ORDER BY hop, entity_id, doc_id, coalesce(locator, '')"""
     return text, args
 
 
-def traverse_with(seed: str, run: Callable[[str, dict[str, str]], DataFrame], depth: int = 2, as_of: str | None = None, known_as_of: str | None = None) -> DataFrame:
+def traverse_with(seed: str, run: Callable[[str, dict[str, str]], DataFrame], depth: int = 2, as_of: Instant = None, known_as_of: Instant = None) -> DataFrame:
     """Hand the compiled traversal to an executor, ``spark.sql`` or another engine's, and map its rows; rows without a document are dropped."""
     text, args = traversal_sql(depth, as_of, known_as_of)
     rows = run(text, args | {"seed": seed}).where("doc_id IS NOT NULL")

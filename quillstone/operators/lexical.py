@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstone.functions.text import lexical_tokens, lines
 
@@ -18,6 +18,11 @@ class Index:
     stats: DataFrame  # n, avgdl: one row
 
 
+def inverse_frequency(n: Column, df: Column) -> Column:
+    """ln(1 + (n - df + 1/2) / (df + 1/2)), put together over one denominator."""
+    return F.log((n + 1) / (df + 0.5))
+
+
 def build(docs: DataFrame) -> Index:
     """Index of ``docs (doc_id, text)``; ids must be unique."""
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -42,7 +47,7 @@ def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> Da
     terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
     live = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = live.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = inverse_frequency(F.col("n"), F.col("df"))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hit = live.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", part.alias("part"))
     summed = hit.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
@@ -70,7 +75,7 @@ def bm25_once(docs: DataFrame, text: str, k: int = 10) -> DataFrame:
 
     def part(i: int):
         n, df, tf = F.col("n"), F.col("df")[i], F.col("tf")[i]
-        return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return inverse_frequency(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
     total = sum((part(i) for i in range(1, len(wanted))), part(0))
     live = rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))

@@ -15,6 +15,7 @@ from quillstone.functions.text import cosine, entropy, ngrams, norm, ratio_bound
 from quillstone.sources.world import World
 
 COLUMNS = ["mention_ord", "surface", "canonical_id", "confidence", "tier"]
+BAND = 0.70, 0.85
 Arbiter = Callable[[str, list[tuple[str, float]]], str | None]
 
 
@@ -24,8 +25,8 @@ class Settings:
     fuzzy_threshold: float = 0.85
     least_entropy: float = 1.5
     vector_threshold: float = 0.85
-    band: tuple[float, float] = (0.70, 0.85)
-    arbiter: Arbiter | None = None
+    arbiter: Arbiter | None = None  # asked about scores within the band
+    band: tuple[float, float] = BAND
     alias_vectors: DataFrame | None = None  # (norm, ids, vector)
     mention_vectors: DataFrame | None = None  # (surface, vector) of the normal forms
 

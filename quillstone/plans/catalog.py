@@ -46,13 +46,13 @@ def big(c: str):
     return F.col(c).cast("long").alias(c)
 
 
-# -- lexical --------------------------------------------------------------------------------------------------------
+# lexical
 
 TERMS = "the of en"
 _BM25 = """
 postings AS (SELECT doc_id, unnest(t) AS term FROM toks), tf AS (SELECT term, doc_id, count(*) AS tf FROM postings GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), dl AS (SELECT doc_id, len(t) AS dl FROM toks),
-scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 10) AS score FROM terms JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), stats GROUP BY 1, 2)"""
+scored AS (SELECT query_id, doc_id, round(sum(ln((n + 1) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 10) AS score FROM terms JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), stats GROUP BY 1, 2)"""
 _TOKS = "toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)"
 
 
@@ -84,7 +84,7 @@ def lexical_scan_regex(spark: SparkSession, d: str) -> Frame:
     return lexical.scan(table(spark, d, "documents"), r"\bversion [0-9]|CC BY", regex=True).select("doc_id", big("line_no"), "line")
 
 
-# -- dense ----------------------------------------------------------------------------------------------------------
+# dense
 
 _COS = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 10),
 s AS (SELECT query_id, vec_id AS doc_id, list_dot_product(qv, CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS score FROM q, embeddings)
@@ -109,7 +109,7 @@ def semantic_floor(spark: SparkSession, d: str) -> Frame:
     return dense.search(_asked(spark, d), _vectors(spark, d), 1 << 30, 0.2).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.min("score"), 4).alias("least"))
 
 
-# -- fusion ---------------------------------------------------------------------------------------------------------
+# fusion
 
 
 def _signals(spark: SparkSession, d: str) -> Frame:
@@ -139,20 +139,20 @@ def rrf_weighted(spark: SparkSession, d: str) -> Frame:
     return fusion.fuse(_signals(spark, d), top_k=20, weights=w).select("query_id", "doc_id", text.round6(F.col("score")).alias("score"))
 
 
-# -- gate -----------------------------------------------------------------------------------------------------------
+# gate
 
 _ASKED = [
     ("capital of France", []), ("compare why these connect", ["e::a"]), ("compare why these connect", []), ("what is the latest plan", []), ("what is known", ["e::a"]), ("plan of v1.2", ["e::a"]),
-    ("tell me about it", ["e::a", "e::b"]), ("tell me about it", ["e::private"]), ("tell me about it", ["e::tail"]), ("history of everything, and why?", ["e::tail"]), ("release notes; now", []),
+    ("tell me about it", ["e::b", "e::a"]), ("tell me about it", ["e::private"]), ("tell me about it", ["e::tail"]), ("history of everything, and why?", ["e::tail"]), ("release notes; now", []),
     ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen", []), ("", []),
 ]
 _VALUES = ", ".join(f"('{q}', [{', '.join(repr(x) for x in e)}]::VARCHAR[])" for q, e in _ASKED)
 _GATE = rf"""WITH q AS (SELECT text, entities FROM (VALUES {_VALUES}) v(text, entities) UNION ALL SELECT text, []::VARCHAR[] FROM conversations WHERE role = 'user'),
 w AS (SELECT *, lower(text) AS l, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM q),
 c AS (SELECT *, list_transform(ws, lambda x: lower(regexp_replace(regexp_replace(x, '^[.,;:!?]+', ''), '[.,;:!?]+$', ''))) AS cw FROM w),
-k AS (SELECT *, len(list_filter(cw, lambda x: x IN ('compare', 'why', 'connect', 'between', 'related', 'versus', 'vs', 'difference', 'path'))) AS n_cue,
+k AS (SELECT *, len(list_filter(cw, lambda x: x IN ({', '.join(map(repr, gate.CUE_WORDS))}))) AS n_cue,
  CAST(contains(l, 'history of') AS INT) + CAST(contains(l, 'what changed') AS INT) + CAST(contains(l, 'compared to') AS INT) AS n_phrase,
- regexp_matches(l, 'today|current|latest|now|recent|this week|this month|as of|up to date|up-to-date') OR regexp_matches(l, '\bv?[0-9]+\.[0-9]+') OR len(list_filter(cw, lambda x: x IN ('version', 'release', 'changelog'))) > 0 AS fresh FROM c),
+ regexp_matches(l, '{'|'.join(gate.FRESH)}') OR regexp_matches(l, '\bv?[0-9]+\.[0-9]+') OR len(list_filter(cw, lambda x: x IN ('version', 'release', 'changelog'))) > 0 AS fresh FROM c),
 g AS (SELECT *, least(1.0::DOUBLE, 0.6::DOUBLE * len(ws) / 20 + 0.4::DOUBLE * (n_cue + n_phrase) / 3) AS x FROM k)
 """
 
@@ -177,7 +177,7 @@ def gate_decision(spark: SparkSession, d: str) -> Frame:
     return _gated(spark, d).select("text", joined("entities"), big("stage"), "strategy")
 
 
-# -- text -----------------------------------------------------------------------------------------------------------
+# text
 
 _NORM = r"trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
@@ -213,7 +213,7 @@ def html_strip(spark: SparkSession, d: str) -> Frame:
     return table(spark, d, "pages").select("page_id", text.strip_html("html").alias("text"))
 
 
-# -- aliases --------------------------------------------------------------------------------------------------------
+# aliases
 
 
 def _part_names(spark: SparkSession, d: str) -> Frame:
@@ -293,7 +293,7 @@ def gazetteer_scan(spark: SparkSession, d: str) -> Frame:
     return resolve.scan(q, g).select("query_id", "surface", "canonical_id")
 
 
-# -- graph ----------------------------------------------------------------------------------------------------------
+# graph
 
 
 def _nodes_edges(spark: SparkSession, d: str) -> tuple[Frame, Frame, Frame]:
@@ -363,7 +363,7 @@ def resource_allocation(spark: SparkSession, d: str) -> Frame:
     return links.resource_allocation(_adj(spark, d), seeds).select("target_id", text.round6(F.col("structural")).alias("structural"), joined("via"))
 
 
-# -- time -----------------------------------------------------------------------------------------------------------
+# time
 
 _CHAIN = "WITH v AS (SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS valid_from, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS known_from FROM events), c AS (SELECT *, lead(known_from) OVER (PARTITION BY user_id, event_type ORDER BY known_from, event_id) AS known_until FROM v) "
 
@@ -398,7 +398,7 @@ def supersede_append(spark: SparkSession, d: str) -> Frame:
     return temporal.supersede(_chain(spark, d), new, "2030-01-01").select("event_id", "known_from", "known_until")
 
 
-# -- worlds ---------------------------------------------------------------------------------------------------------
+# worlds
 
 _RELS = "r AS (SELECT 'nation::' || n_nationkey AS s, 'in_region' AS p, 'region::' || n_regionkey AS t FROM nation UNION ALL SELECT 'customer::' || c_custkey, 'in_nation', 'nation::' || c_nationkey FROM customer UNION ALL SELECT 'supplier::' || s_suppkey, 'in_nation', 'nation::' || s_nationkey FROM supplier)"
 
@@ -456,7 +456,7 @@ def json_roundtrip(spark: SparkSession, d: str) -> Frame:
     return back.select("canonical_id", "label", F.size("relations").cast("long").alias("n_relations"))
 
 
-# -- links ----------------------------------------------------------------------------------------------------------
+# links
 
 _TF = "tf AS (SELECT l_orderkey AS doc, l_partkey AS concept, sum(l_quantity) AS tf FROM lineitem GROUP BY ALL), n AS (SELECT count(DISTINCT doc) AS n FROM tf), idf AS (SELECT concept, count(*) AS df, ln(any_value(n) / count(*)) AS idf FROM tf, n GROUP BY concept), v AS (SELECT doc, concept, tf * idf AS w FROM tf JOIN idf USING (concept) WHERE idf > 0), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM v GROUP BY doc)"
 
@@ -538,7 +538,7 @@ def phrase_tf(spark: SparkSession, d: str) -> Frame:
     return links.phrase_counts(docs, F.broadcast(g), 2)
 
 
-# -- authoring ------------------------------------------------------------------------------------------------------
+# authoring
 
 
 @query()
@@ -574,7 +574,7 @@ def dedup_minhash(spark: SparkSession, d: str) -> Frame:
     return tag.unionByName(review.select("i", "j", F.lit("review").alias("verdict")))
 
 
-# -- assembly and retrieval -----------------------------------------------------------------------------------------
+# assembly and retrieval
 
 
 @query("""WITH r AS (SELECT lang, doc_id, CAST(n_chars AS DOUBLE) AS rel, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
@@ -614,7 +614,7 @@ def agent_ground(spark: SparkSession, d: str) -> Frame:
     return retrieve.ground(_engine(spark, d), rows(spark, _QUESTIONS, "query_id int, text string, budget int"))
 
 
-# -- scores ---------------------------------------------------------------------------------------------------------
+# scores
 
 
 @query("SELECT o_custkey, bool_and(o_orderstatus <> 'P') AS passed, count(*) AS trials FROM orders GROUP BY 1")

@@ -181,8 +181,9 @@ class WorldBuilder:
         self.spark, self._entities, self._merges, self._frozen = spark, None, [], False
 
     def _open(self) -> None:
-        if self._frozen:
-            raise RuntimeError("the world is frozen")
+        if not self._frozen:
+            return
+        raise RuntimeError("the world is frozen")
 
     def add(self, entities: DataFrame | Iterable[dict]) -> WorldBuilder:
         self._open()
@@ -211,7 +212,7 @@ class WorldBuilder:
 def with_mirrors(entities: DataFrame, mirrors: dict[str, str] | None = None) -> DataFrame:
     """For each edge whose predicate has a mirror, the reverse edge on its target, same valid time and weight, known time open."""
     spark = entities.sparkSession
-    names = {"mentions": "mentioned_in", "links_to": "linked_from"} if mirrors is None else mirrors
+    names = dict(links_to="linked_from", mentions="mentioned_in") if mirrors is None else mirrors
     table = F.broadcast(spark.createDataFrame(sorted(names.items()), "predicate string, mirror string"))
     rel = entities.select(F.col("canonical_id").alias("src"), F.explode("relations").alias("r")).select("src", "r.*")
     ids = entities.select(F.col("canonical_id").alias("target_id"))
@@ -223,7 +224,7 @@ def with_mirrors(entities: DataFrame, mirrors: dict[str, str] | None = None) ->
     return out.select(*entities.columns)
 
 
-# -- JSON ------------------------------------------------------------------------------------------------------------
+# JSON
 
 
 def to_json_lines(entities: DataFrame) -> DataFrame:

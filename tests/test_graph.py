@@ -30,7 +30,7 @@ def test_diamond_cycle_and_dangling(spark):
 
 
 def test_validity(spark):
-    e = [("a", "b", "2026-01-01", "2026-06-01")]
+    e = [("a", "b", *("2026-01-01 2026-06-01".split()))]
     for at, n in (("2026-03-01", 2), ("2026-06-01", 1), ("2025-12-31", 1), (None, 2)):
         assert len(walk(spark, e, "ab", as_of=at)) == n
     assert walk(spark, e, "ab", as_of="2027")[0][3] == "graph"  # expired edges are edges

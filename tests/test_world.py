@@ -16,8 +16,9 @@ def ids(df, c="canonical_id"):
 
 
 def test_merge_chain_resolves_to_the_last(spark):
+    names = ["c::llms", "c::llm"]
     b = world.WorldBuilder(spark).add([ent("c::language_models", "Language models"), ent("c::llms", "LLMs"), ent("c::llm", "LLM", aliases=["large language model"])])
-    w = b.merge("c::language_models", "c::llms").merge("c::llms", "c::llm").freeze()
+    w = b.merge("c::language_models", names[0]).merge(*names).freeze()
     e = w.entities.collect()
     assert [x.canonical_id for x in e] == ["c::llm"]
     assert e[0].aliases == ["large language model", "Language models", "LLMs"] and e[0].merged_from == ["c::language_models", "c::llms"]
