@@ -86,8 +86,8 @@ def lexical_scan_regex(spark: SparkSession, d: str) -> Frame:
 
 # dense
 
-_COS = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 10),
-s AS (SELECT query_id, vec_id AS doc_id, list_dot_product(qv, CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS score FROM q, embeddings)
+_COS = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT label, i, avg(v[i]) AS x FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+q AS (SELECT label AS query_id, list(x ORDER BY i) AS qv FROM p GROUP BY 1), s AS (SELECT query_id, vec_id AS doc_id, list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) AS score FROM q, e)
 """
 
 
@@ -96,7 +96,11 @@ def _vectors(spark: SparkSession, d: str) -> Frame:
 
 
 def _asked(spark: SparkSession, d: str) -> Frame:
-    return _vectors(spark, d).where("doc_id < 10").withColumnRenamed("doc_id", "query_id")  # ten questions; they are asked of all vectors
+    """The mean vector of each label, as a question."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    by_place = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return mean.groupBy(F.col("label").alias("query_id")).agg(F.transform(by_place, lambda p: p["x"]).alias("vector"))
 
 
 @query(_COS + "SELECT query_id, CAST(rank0 AS BIGINT) AS rank0, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank0 FROM s WHERE score >= 0) WHERE rank0 < 10")

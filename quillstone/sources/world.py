@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillstone.functions.text import norm
 from quillstone.sources.schema import EDGE_COLUMNS, ENTITY, MERGE, RELATION, VERSION
@@ -63,9 +63,24 @@ def merge_map(spark: SparkSession, merges: DataFrame | None) -> DataFrame:
     return spark.createDataFrame(sorted(union_find(log).items()), "child_id string, root_id string")
 
 
+def _by_document(refs: Column) -> Column:
+    keyed = F.transform(refs, lambda r: F.struct(r["doc_id"].alias("d"), F.coalesce(r["locator"], F.lit("")).alias("l"), r.alias("r")))
+    return F.transform(F.array_sort(keyed), lambda x: x["r"])
+
+
 def fold(entities: DataFrame, roots: DataFrame) -> DataFrame:
-    """Representatives, which take in their members' labels, aliases, refs and relations; targets are rewritten, self-loops dropped."""
-    to = F.broadcast(roots) if roots.count() <= 1_000_000 else roots
+    """Representatives, which take in their members' labels, aliases, refs and relations; targets are rewritten, self-loops dropped.
+
+    Without merges this is a projection; with them, the arrays are exploded, joined and gathered again.
+    """
+    n_merged = roots.count()
+    if n_merged == 0:
+        tidy = {
+            "aliases": F.array_distinct("aliases"), "merged_from": F.array_distinct("merged_from"), "refs": _by_document(F.array_distinct("refs")),
+            "relations": F.array_sort(F.array_distinct(F.filter("relations", lambda r: r["target_id"] != F.col("canonical_id")))),
+        }
+        return entities.withColumns(tidy).select(*[f.name for f in ENTITY.fields])
+    to = F.broadcast(roots) if n_merged <= 1_000_000 else roots
     e = entities.join(to, entities.canonical_id == to.child_id, "left").withColumn("root", F.coalesce("root_id", "canonical_id")).drop("child_id", "root_id")
     own = F.col("canonical_id") == F.col("root")
     member = e.select("root", "canonical_id", own.alias("own"), F.when(own, F.col("aliases")).otherwise(F.concat(F.array("label"), "aliases")).alias("names"), F.when(own, F.col("merged_from")).otherwise(F.array("canonical_id")).alias("from_"), "refs")
@@ -75,12 +90,11 @@ def fold(entities: DataFrame, roots: DataFrame) -> DataFrame:
         return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("v")))), lambda x: x["v"])))
 
     parts = member.groupBy("root").agg(gathered("names").alias("aliases"), gathered("from_").alias("merged_from"), gathered("refs").alias("refs"))
-    by_doc = F.transform(F.array_sort(F.transform("refs", lambda r: F.struct(r["doc_id"].alias("d"), F.coalesce(r["locator"], F.lit("")).alias("l"), r.alias("r")))), lambda x: x["r"])
     rel = e.select("root", F.explode("relations").alias("r")).select("root", "r.*")
     rel = rel.join(to.select(F.col("child_id").alias("target_id"), "root_id"), "target_id", "left").withColumn("target_id", F.coalesce("root_id", "target_id")).where(F.col("target_id") != F.col("root"))
     rel = rel.select("root", F.struct(*RELATION_FIELDS).alias("r")).distinct().groupBy("root").agg(F.array_sort(F.collect_list("r")).alias("relations"))
     base = e.where(own).drop("aliases", "merged_from", "refs", "relations", "root")
-    out = base.join(parts, base.canonical_id == parts.root).drop("root").withColumn("refs", by_doc)
+    out = base.join(parts, base.canonical_id == parts.root).drop("root").withColumn("refs", _by_document(F.col("refs")))
     out = out.join(rel, out.canonical_id == rel.root, "left").withColumn("relations", F.coalesce("relations", F.array().cast(ENTITY["relations"].dataType)))
     return out.select(*[f.name for f in ENTITY.fields])
 

@@ -136,3 +136,13 @@ def test_posts(spark, tmp_path):
     assert [(r.slug, r.title, r.text) for r in df.collect()] == [("a", "A", ""), ("b", "B & b", "x\ny")]
     posts.write_posts(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_projection_equals_the_general_fold(spark):
+    rows = [ent("a", aliases=["z", "y", "z"], relations=[("p", "b"), ("p", "a"), ("o", "b"), ("p", "b")], refs=["2", "1", "2"]), ent("b"), ent("m1"), ent("m2")]
+    e = world.entities_frame(spark, rows)
+    none, some = (spark.createDataFrame(x, "child_id string, root_id string") for x in ([], [("m1", "m2")]))
+    plain = {r.canonical_id: r for r in world.fold(e, none).collect()}
+    folded = {r.canonical_id: r for r in world.fold(e, some).collect()}
+    assert plain["a"] == folded["a"] and plain["b"] == folded["b"] and set(folded) == {"a", "b", "m2"}
+    assert plain["a"].aliases == ["z", "y"] and [(r.predicate, r.target_id) for r in plain["a"].relations] == [("o", "b"), ("p", "b")]
