@@ -30,7 +30,7 @@ from quillstone.llm.common import fresh, frugal
 FIT_ROWS, BUCKETS, DIM, EPOCHS, RATE = 6000, 1 << 18, 16, 4, 1.5
 ORDERS = (2, 3, 4)
 REJECT, MAX_CONFIDENCE = 0.001, 0.5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _fold: list[np.ndarray] = []
 
