@@ -57,7 +57,8 @@ def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> Da
 def top(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """The ``k`` best of each query, ties to the smaller id, with their rank from 0."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k)
+    ranked = scored.withColumn("rank0", F.row_number().over(w)).where(F.col("rank0") <= k)  # in this form the limit is applied before the shuffle
+    return ranked.withColumn("rank0", F.col("rank0") - 1)
 
 
 def search(queries: DataFrame, index: Index, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:

@@ -51,7 +51,7 @@ class Engine:
             w = self.world
             hits = graph.traverse(seeds.select("seed"), w.entities.select(F.col("canonical_id").alias("id")), w.edges, w.refs, self.depth).join(seeds, "seed")
             order = Window.partitionBy("query_id").orderBy("hop", F.desc("score"), "doc_id")
-            docs = graph.graph_documents(hits).withColumn("rank0", F.row_number().over(order) - 1).where(F.col("rank0") < k)
+            docs = graph.graph_documents(hits).withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= k).withColumn("rank0", F.col("rank0") - 1)
             out.append(docs.withColumn("signal", F.lit("graph")))
         all_ = None
         for s in out:
