@@ -2,7 +2,6 @@ import difflib
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillstone.functions.text import normal_form
 from quillstone.operators import resolve

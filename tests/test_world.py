@@ -146,3 +146,30 @@ def test_projection_equals_the_general_fold(spark):
     folded = {r.canonical_id: r for r in world.fold(e, some).collect()}
     assert plain["a"] == folded["a"] and plain["b"] == folded["b"] and set(folded) == {"a", "b", "m2"}
     assert plain["a"].aliases == ["z", "y"] and [(r.predicate, r.target_id) for r in plain["a"].relations] == [("o", "b"), ("p", "b")]
+
+
+def test_sqlite_round_trip(spark, tmp_path):
+    from quillstone.operators import resolve
+    from quillstone.sources import sqlite
+
+    w = world.WorldBuilder(spark).add([ent("a", "Alpha Beta", aliases=["ab"], refs=["d"], relations=[("r", "b", {"weight": 2.0})], metadata={"k": 1}), ent("b"), ent("c", "Gamma")]).merge("c", "a").freeze()
+    path = str(tmp_path / "w.db")
+    sqlite.write(w, path)
+    again = sqlite.read(spark, path)
+    assert world.dump_document(again.entities) == world.dump_document(w.entities)
+    asked = spark.createDataFrame([(0, "ab"), (1, "alpha-beta"), (2, "gamma!"), (3, "none")], "mention_ord int, surface string")
+    one, two = (sorted(map(str, resolve.lookup(asked, x).collect())) for x in (w, again))
+    assert one == two and len(one) == 3
+    assert ids(again.has_record(spark.createDataFrame([("c",)], "id string")), "id") == ["c"]
+    with pytest.raises(ValueError, match="exists"):
+        sqlite.write(w, path)
+    (tmp_path / "junk.db").write_bytes(b"not a database at all" * 10)
+    for bad in ("junk.db", "missing.db"):
+        with pytest.raises(ValueError):
+            sqlite.read(spark, str(tmp_path / bad))
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        db.execute("UPDATE meta SET schema_version = 99")
+    with pytest.raises(ValueError, match="version"):
+        sqlite.read(spark, path)
