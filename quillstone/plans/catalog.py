@@ -531,6 +531,21 @@ def authority_doc(spark: SparkSession, d: str) -> Frame:
     return links.authorities(_tf(spark, d))
 
 
+@query("WITH tf AS (SELECT l_orderkey AS doc, l_partkey AS concept, sum(l_quantity) AS tf FROM lineitem GROUP BY ALL), a AS (SELECT concept, doc AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY tf DESC, doc) AS r FROM tf) WHERE r = 1) SELECT doc, concept, target_id, tf FROM tf JOIN a USING (concept) WHERE doc <> target_id")
+def link_anchors(spark: SparkSession, d: str) -> Frame:
+    return links.anchors(_tf(spark, d))
+
+
+@query("""WITH h AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey), s AS (SELECT c_custkey AS doc, p_partkey AS doc_id, p_retailprice / (1 + p_size) AS score FROM customer JOIN h ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE c_custkey <> p_partkey)
+SELECT doc, doc_id, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 3""")
+def next_reads(spark: SparkSession, d: str) -> Frame:
+    """Parts a customer bought, the three of the best score."""
+    o, li, p = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
+    bought = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("doc"), F.col("l_partkey").alias("seed"))
+    hits = p.select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("doc_id"), (F.col("p_retailprice") / (1 + F.col("p_size"))).alias("score"))
+    return links.next_reads(hits, bought).select("doc", "doc_id", big("rank"))
+
+
 _PHRASES = ["the", "of the", "de la", "und"]
 
 
