@@ -46,6 +46,7 @@ def nnls(a: np.ndarray, y: np.ndarray, most: int = 2000) -> np.ndarray:
     """Minimise |a x - y| over x >= 0 by the active-set method of Lawson and Hanson."""
     m, n = a.shape
     x, passive = np.zeros(n), np.zeros(n, bool)
+    gram, ay = a.T @ a, a.T @ y  # normal equations: small solves, where a decomposition of ``a`` in each step would start threads
     tol = 1e-9 * max(1.0, float(np.abs(a.T @ y).max(initial=0)))
     for _ in range(most):
         w = np.where(passive, -np.inf, a.T @ (y - a @ x))
@@ -55,7 +56,8 @@ def nnls(a: np.ndarray, y: np.ndarray, most: int = 2000) -> np.ndarray:
         passive[j] = True
         while True:
             z = np.zeros(n)
-            z[passive] = np.linalg.lstsq(a[:, passive], y, rcond=None)[0]
+            k = np.flatnonzero(passive)
+            z[k] = np.linalg.solve(gram[np.ix_(k, k)] + 1e-10 * np.eye(len(k)), ay[k])
             if (z[passive] > 0).all():
                 break
             low = passive & (z <= 0)
