@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-CHOSEN = "query_id {key}, doc_id string, content string, tokens int, rel double, mmr_score double, pick int"
+CHOSEN = "query_id {key}, doc_id string, print long, tokens int, rel double, mmr_score double, pick int"
 
 
 def _id_key(name: str) -> list[int]:
@@ -15,47 +15,59 @@ def _id_key(name: str) -> list[int]:
 
 
 def choose(tokens: list[int], rel: list[float], ids: list[str], vectors: list[list[float] | None], budget: int, lam: float, duplicate: float) -> list[tuple[int, float]]:
-    """(index, value) in order of choice by maximal marginal relevance. The greatest similarity to what is chosen is kept up as it grows."""
-    n = len(ids)
-    unit: list[np.ndarray | None] = []
-    for v in vectors:
-        x = np.array([] if v is None else v, dtype=float)
+    """(index, value) in order of choice by maximal marginal relevance. The greatest similarity to what is chosen is kept up as it grows; what no longer fits or is too similar
+    can't come back, so it is dropped for good."""
+    at = np.array(sorted(range(len(ids)), key=lambda i: (rel[i], _id_key(ids[i])), reverse=True), int)  # of equal values the first is best
+    size, worth, name = np.asarray(tokens)[at], np.asarray(rel, float)[at], pd.factorize(np.asarray(ids, object)[at])[0]
+    dims, units = np.zeros(len(at), int), {}
+    row = np.zeros(len(at), int)
+    for i, k in enumerate(at):
+        x = np.array([] if vectors[k] is None else vectors[k], dtype=float)
         norm = float(np.sqrt((x * x).sum())) if len(x) else 0.0
-        unit.append(x / norm if norm > 0 else None)
-    most, out, left, free = np.full(n, -np.inf), [], budget, set(range(n))
+        if norm > 0:
+            dims[i], row[i] = len(x), len(units.setdefault(len(x), []))
+            units[len(x)].append(x / norm)
+    units = {n: np.array(u) for n, u in units.items()}
+    most, out, left, free = np.zeros(len(at)), [], budget, np.arange(len(at))
     while True:
-        best = None
-        for i in free:
-            sim = float(most[i]) if out else 0.0
-            if tokens[i] > left or (out and sim >= duplicate):
-                continue
-            key = (lam * rel[i] - (1 - lam) * sim, rel[i], _id_key(ids[i]))
-            if best is None or key > best[0]:
-                best = (key, i)
-        if best is None:
+        free = free[size[free] <= left]
+        if not len(free):
             return out
-        (value, _, _), pick = best
-        out.append((pick, value))
-        left -= tokens[pick]
-        free = {i for i in free if ids[i] != ids[pick]}
-        for i in free:
-            a, b = unit[i], unit[pick]
-            most[i] = max(most[i], float(a @ b) if a is not None and b is not None and len(a) == len(b) else 0.0)
-
-
-def select(candidates: DataFrame, lam: float = 0.5, duplicate: float = 0.95) -> DataFrame:
-    """Chosen rows of ``candidates (query_id, doc_id, content, tokens, rel, embedding, budget)``; each query is a group of its own."""
+        values = lam * worth[free] - (1 - lam) * most[free]
+        best = int(np.argmax(values))
+        pick = free[best]
+        out.append((int(at[pick]), float(values[best])))
+        left -= int(size[pick])
+        free = free[name[free] != name[pick]]
+        sim, alike = np.zeros(len(free)), np.flatnonzero((dims[free] == dims[pick]) & (dims[free] > 0))
+        if len(alike):
+            u = units[dims[pick]]
+            sim[alike] = np.einsum("ij,j->i", u[row[free[alike]]], u[row[pick]])
+        most[free] = sim if len(out) == 1 else np.maximum(most[free], sim)
+        free = free[most[free] < duplicate]
+
+
+def choice(candidates: DataFrame, lam: float = 0.5, duplicate: float = 0.95) -> DataFrame:
+    """Chosen rows of ``candidates (query_id, doc_id, print, tokens, rel, embedding, budget)``, which hold no contents; each query is a group of its own. ``print`` tells rows of one doc_id apart."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        g = g.sort_values(["doc_id", "print"], kind="stable").reset_index(drop=True)
         picks = choose(g.tokens.tolist(), g.rel.tolist(), g.doc_id.tolist(), g.embedding.tolist(), int(g.budget.iloc[0]), lam, duplicate)
-        c = g.loc[[i for i, _ in picks], ["query_id", "doc_id", "content", "tokens", "rel"]]
+        c = g.loc[[i for i, _ in picks], ["query_id", "doc_id", "print", "tokens", "rel"]]
         return c.assign(mmr_score=[float(v) for _, v in picks], pick=range(len(picks)))
 
-    c = candidates.select("query_id", "doc_id", "content", F.col("tokens").cast("int").alias("tokens"), "rel", "embedding", "budget")
+    c = candidates.select("query_id", "doc_id", "print", F.col("tokens").cast("int").alias("tokens"), "rel", "embedding", "budget")
     return c.groupBy("query_id").applyInPandas(run, CHOSEN.format(key=candidates.schema["query_id"].dataType.simpleString()))
 
 
+def select(candidates: DataFrame, lam: float = 0.5, duplicate: float = 0.95) -> DataFrame:
+    """Chosen rows of ``candidates (query_id, doc_id, content, tokens, rel, embedding, budget)``. Contents are not grouped, only joined to what is chosen."""
+    c = candidates.withColumn("print", F.xxhash64("content"))
+    texts = c.select(F.col("query_id").alias("q"), F.col("doc_id").alias("d"), F.col("print").alias("p"), "content")
+    found = choice(c, lam, duplicate).join(texts, F.col("query_id").eqNullSafe(F.col("q")) & (F.col("doc_id") == F.col("d")) & (F.col("print") == F.col("p")))
+    return found.dropDuplicates(["query_id", "doc_id", "print"]).select("query_id", "doc_id", "content", "tokens", "rel", "mmr_score", "pick")
+
+
 def fold_order(chosen: DataFrame) -> DataFrame:
     """``position``: by relevance, alternately from the front and from the back."""
     w = Window.partitionBy("query_id")

@@ -605,11 +605,14 @@ def fold_order(spark: SparkSession, d: str) -> Frame:
 
 @query()
 def mmr_assemble(spark: SparkSession, d: str) -> Frame:
-    """Documents with the vector of their number, a context for each language."""
-    docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
-    c = docs.join(vecs, docs.doc_id == vecs.vec_id).select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 200).alias("content"), (F.col("n_chars") / 4).cast("int").alias("tokens"), F.col("embedding"), F.col("n_chars").cast("double").alias("n"))
-    c = c.withColumn("rel", F.col("n") / F.max("n").over(Window.partitionBy("query_id"))).withColumn("budget", F.lit(20000))
-    return assemble.assemble(c).select("query_id", "text", "total_tokens", F.transform("manifest", lambda m: m["doc_id"]).alias("doc_ids"))
+    """Whole documents, with the vector of their number if there is one; a context for each language."""
+    docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings").select("vec_id", "embedding")
+    longest = docs.groupBy(F.col("lang").alias("l")).agg(F.max("n_chars").cast("double").alias("longest"))
+    c = docs.drop("text").join(F.broadcast(longest), F.col("lang").eqNullSafe(F.col("l"))).join(vecs, docs.doc_id == vecs.vec_id, "left")
+    c = c.select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).cast("long").alias("print"), (F.col("n_chars") / 4).cast("int").alias("tokens"), "embedding", (F.col("n_chars").cast("double") / F.col("longest")).alias("rel"), F.lit(20000).alias("budget"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"))
+    chosen = texts.join(F.broadcast(assemble.choice(c)), "doc_id")  # a budget for each language: few rows, so texts are not shuffled
+    return assemble.emit(assemble.fold_order(chosen)).select("query_id", "text", "total_tokens", F.transform("manifest", lambda m: m["doc_id"]).alias("doc_ids"))
 
 
 def _engine(spark: SparkSession, d: str) -> retrieve.Engine:

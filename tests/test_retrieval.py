@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import assemble, authoring, dense, evals, fusion, gate, lexical, links, retrieve
+from quillstone.plans import catalog
 from quillstone.sources.world import WorldBuilder
 from quillstone.streaming import history
 from tests.test_world import ent
@@ -215,3 +216,14 @@ def test_results_do_not_depend_on_partitions(spark, small, parts):
     want = [(r.query_id, r.rank0, r.doc_id, r.score) for r in lexical.search(q, lexical.build(d)).orderBy("query_id", "rank0").collect()]
     got = [(r.query_id, r.rank0, r.doc_id, r.score) for r in lexical.search(q, lexical.build(d.repartition(parts, "text"))).orderBy("query_id", "rank0").collect()]
     assert got == want
+
+
+def test_whole_documents_are_assembled(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 20").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = {str(r.doc_id): r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.query_id: r for r in catalog.QUERIES["mmr_assemble"](spark, str(tmp_path)).collect()}
+    assert set(got) == {r.lang for r in rows.values()}
+    for r in got.values():
+        assert r.text == "\n\n".join(f"[[{i}]]\n{rows[i].text}" for i in r.doc_ids) and r.total_tokens == sum(rows[i].n_chars // 4 for i in r.doc_ids) <= 20000
+    assert any(int(i) >= 20 for r in got.values() for i in r.doc_ids)
