@@ -1,16 +1,17 @@
 """Operator 2: scores of a language model held in a log-frequency Bloom filter.
 
-The model is of characters: n-grams of 1 to ``ORDER`` characters within a word and its boundaries, counted over all words of all documents. A count c is
+Two models share the filter. That of characters has n-grams of 1 to ``ORDER`` characters within a word and its boundaries, that of words n-grams of 1 to ``WORDS`` words within
+a document, with a mark at either end; both are counted over all words of all documents. A count c is
 quantised to ``1 + floor(log_b c)`` levels; an n-gram of level q is entered q times, as (n-gram, 1) ... (n-gram, q). A lookup probes levels from 1 until one is
 missing: a level can be overstated (by a false positive, with probability 2^-k at each step), never understated. Probabilities interpolate the orders
-(Jelinek-Mercer), every count coming from such probes.
+(Jelinek-Mercer), every count coming from such probes; word unigrams are backed off to the model of characters.
 
 Partitions count words, then n-grams of their distinct words, so what is shuffled is n-gram counts. The filter is built in segments, in parallel, an n-gram with all
-its levels in one segment of 1 MB (its probes stay in the cache), and broadcast. Its size follows the number of distinct n-grams, which grows
-more slowly than the text; beyond ``MAX_BYTES`` it keeps every n-gram and spends fewer bits on each, down to ``LEAST_HASHES``, and past that the job stops
+its levels in one segment of 1 MB (its probes stay in the cache), and broadcast. Its size follows the number of distinct n-grams; those of words grow
+almost as the text does. Beyond ``MAX_BYTES`` it keeps every n-gram and spends fewer bits on each, down to ``LEAST_HASHES``, and past that the job stops
 with an error rather than dropping anything. Scoring looks up the distinct n-grams of a batch.
 
-Defined cases: null and empty texts, or blank ones, have 0 characters, log-probability 0 and null bits_per_char; rows with a null id are counted and scored; repeated rows count
+Defined cases: null and empty texts, or blank ones, have 0 characters, log-probabilities 0 and null bits_per_char and bits_per_word; rows with a null id are counted and scored; repeated rows count
 each time; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillstone.llm.common import frugal, materialize, mix64
 
+WORDS = 3
 ORDER, BASE, HASHES, LEAST_HASHES, LAMBDA = 5, 1.5, 8, 2, 0.75
 SEGMENT_BITS, MAX_BYTES = 1 << 23, 256 << 20
-_START, _END, TOTAL = 2, 3, -1  # TOTAL: the key under which all symbols are counted
+_START, _END, TOTAL, N_WORDS = 2, 3, -1, -2  # the keys under which all symbols, and all words and ends of documents, are counted
 _M, _L = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -74,6 +76,33 @@ def grams(data: np.ndarray, depth: np.ndarray, order: int) -> tuple[np.ndarray,
     return mix64(h), at
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    """Hashes of words, and at the end those of the marks before and after a document."""
+    return np.concatenate([pd.util.hash_array(np.array(words, object), categorize=False) if words else np.empty(0, np.uint64), np.array([_START, _END], np.uint64)])
+
+
+def sequence(codes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of the documents that have words, each between its marks ``n`` and ``n + 1``; for each, its distance from the start mark and its document."""
+    doc = np.flatnonzero(counts)
+    sizes = counts[doc] + 2
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    own = np.ones(len(out), bool)
+    own[first] = own[first + sizes - 1] = False
+    out[first], out[first + sizes - 1], out[own] = n, n + 1, codes
+    return out, np.arange(len(out)) - np.repeat(first, sizes), np.repeat(doc, sizes)
+
+
+def word_grams(keys: np.ndarray, depth: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of ``order`` words, and the offsets where they end (within one document)."""
+    at = np.flatnonzero(depth >= order - 1)
+    h = np.full(len(at), _salt(1000 + order), np.uint64)
+    for j in range(order - 1, -1, -1):
+        h = (h ^ keys[at - j]) * _M
+        h ^= h >> np.uint64(29)
+    return mix64(h), at
+
+
 def level(count, base: float = BASE):
     """Quantised level of a count of 1 or more."""
     return 1 + np.floor(np.log(count) / math.log(base) + 1e-9).astype(np.int64)
@@ -87,10 +116,15 @@ def value(q, base: float = BASE):
 @frugal
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words, codes, _ = vocabulary(b.column(0))
+        words, codes, n_words = vocabulary(b.column(0))
         n = np.bincount(codes, minlength=len(words))
         symbols = sum((len(w) + 1) * int(c) for w, c in zip(words, n))
-        yield pa.RecordBatch.from_arrays([pa.array([TOTAL], pa.int64()), pa.array([symbols], pa.int64())], names=["h", "c"])
+        row, depth, _ = sequence(codes, n_words, len(words))
+        yield pa.RecordBatch.from_arrays([pa.array([TOTAL, N_WORDS], pa.int64()), pa.array([symbols, int((depth > 0).sum())], pa.int64())], names=["h", "c"])
+        keys = word_keys(words)[row]
+        for k in range(1, WORDS + 1):
+            inverse, own = pd.factorize(word_grams(keys, depth, k)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(own)))], names=["h", "c"])
         for lo in range(0, len(words), 100_000):
             data, depth, word = positions(words[lo : lo + 100_000])
             for k in range(1, order + 1):
@@ -117,19 +151,16 @@ def _build(batches: Iterator[pa.RecordBatch], segments: int, hashes: int, base:
         h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
         seg, q = h % segments, level(c, base)
         for s in np.unique(seg):
-            bits = held.setdefault(int(s), np.zeros(SEGMENT_BITS // 8, np.uint8))
-            full = np.unpackbits(bits)
-            enter(full, h[seg == s].view(np.uint64), q[seg == s], hashes)
-            held[int(s)] = np.packbits(full)
+            enter(held.setdefault(int(s), np.zeros(SEGMENT_BITS, np.uint8)), h[seg == s].view(np.uint64), q[seg == s], hashes)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["segment", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["segment", "bits"])
 
 
 class Filter:
     """The filter as workers hold it."""
 
-    def __init__(self, parts: dict[int, bytes], segments: int, hashes: int, total: int, base: float) -> None:
-        self.segments, self.hashes, self.total, self.base = segments, hashes, total, base
+    def __init__(self, parts: dict[int, bytes], segments: int, hashes: int, total: int, base: float, n_words: int = 0) -> None:
+        self.segments, self.hashes, self.total, self.base, self.n_words = segments, hashes, total, base, n_words
         self.bits = b"".join(parts.get(s, bytes(SEGMENT_BITS // 8)) for s in range(segments))
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -168,6 +199,25 @@ class Filter:
         live = depth >= 1
         return np.bincount(word[live], weights=np.log2(np.minimum(p[live], 1.0)), minlength=len(words))
 
+    def document_bits(self, words: list[str], codes: np.ndarray, counts: np.ndarray, spelt: np.ndarray, lam: float = LAMBDA) -> np.ndarray:
+        """log2 of the probability of each document's words, the end mark included; ``spelt``: log2 of the probability of each word by its characters."""
+        row, depth, doc = sequence(codes, counts, len(words))
+        keys = word_keys(words)[row]
+        p = np.exp2(np.concatenate([spelt, [0.0, math.log2(0.5 / (self.n_words + 1))]]))[row]
+        before = np.full(len(row), float(self.n_words))  # counts of the contexts
+        for k in range(1, WORDS + 1):
+            h, at = word_grams(keys, depth, k)
+            inverse, own = pd.factorize(h)
+            full = np.zeros(len(row))
+            full[at] = value(self.levels(own), self.base)[inverse]
+            at = at[depth[at] >= 1]
+            context = before[at - 1]
+            ml = np.minimum(full[at] / np.maximum(context, 1e-9), 1.0)
+            p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
+            before = full
+        live = depth >= 1
+        return np.bincount(doc[live], weights=np.log2(p[live]), minlength=len(counts))
+
 
 @frugal
 def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> Iterator[pa.RecordBatch]:
@@ -181,7 +231,9 @@ def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> I
         lp, n = np.zeros(len(n_words)), np.zeros(len(n_words), np.int64)
         if len(some):
             lp[some], n[some] = np.add.reduceat(bits[codes], first), np.add.reduceat(size[codes], first)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lp, pa.float64()), pa.array(-lp / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_symbols", "log2_prob", "bits_per_char"])
+        by_words = model.document_bits(words, codes, n_words, bits, lam)
+        own = [pa.array(n, pa.int64()), pa.array(lp, pa.float64()), pa.array(-lp / np.maximum(n, 1), mask=n == 0), pa.array(n_words, pa.int64()), pa.array(by_words, pa.float64()), pa.array(-by_words / (n_words + 1), mask=n_words == 0)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *own], names=["doc_id", "n_symbols", "log2_prob", "bits_per_char", "n_words", "word_log2_prob", "bits_per_word"])
 
 
 def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -200,13 +252,15 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: flo
         k -= 1
     if segments * SEGMENT_BITS // 8 > max_bytes:
         raise ValueError(f"{entries} entries need more than {max_bytes} bytes; raise max_bytes or base")
-    total = table.where(F.col("h") == TOTAL).select("c").first()
+    totals = {r.h: r.c for r in table.where(F.col("h").isin(TOTAL, N_WORDS)).collect()}
     rows = table.withColumn("seg", F.pmod(F.col("h"), F.lit(segments))).repartition(min(segments, 512), "seg").select("h", "c")
-    parts = {r.segment: bytes(r.bits) for r in rows.mapInArrow(lambda it: _build(it, segments, k, base), "segment int, bits binary").toLocalIterator()}
-    return Filter(parts, segments, k, total.c if total else 0, base)
+    built = materialize(rows.mapInArrow(lambda it: _build(it, segments, k, base), "segment int, bits binary"), "segments")
+    parts = {r.segment: bytes(r.bits) for r in built.toLocalIterator()}
+    return Filter(parts, segments, k, totals.get(TOTAL, 0), base, totals.get(N_WORDS, 0))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, lam: float = LAMBDA, model: Filter | None = None) -> DataFrame:
-    """``(doc_id, n_symbols, log2_prob, bits_per_char)`` for every document; symbols are characters and the ends of words."""
+    """``(doc_id, n_symbols, log2_prob, bits_per_char, n_words, word_log2_prob, bits_per_word)`` for every document; symbols are characters and the ends of words, and the end of
+    a document counts as a word in ``bits_per_word``."""
     held = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col, order))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _score(it, held, order, lam), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_symbols long, log2_prob double, bits_per_char double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _score(it, held, order, lam), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_symbols long, log2_prob double, bits_per_char double, n_words long, word_log2_prob double, bits_per_word double")

@@ -90,3 +90,37 @@ def test_nulls_empty_repeats_long_and_other_columns(docs, clashing):
     assert by[1] == by[2] == by[3] == [(0, 0.0, None)]
     assert by[4][0] == by[4][1] == by[None][0] == by[6][0] and by[4][0][0] == 6 and by[5][0][0] == 300004
     assert N.score(docs()).count() == 0
+
+
+def test_words_are_scored_in_their_order(spark, docs, small):
+    """The model of words, from exact counts; shuffled words are less likely than the text."""
+    import random
+
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    m = N.train(d, hashes=24)  # next to no false positives
+    texts = [N.tokens(r.text or "") for r in d.collect()]
+    c, total = Counter(), 0
+    for w in filter(None, texts):
+        w = ["<", *w, ">"]
+        total += len(w) - 1
+        c.update(tuple(w[i - k + 1 : i + 1]) for k in (1, 2, 3) for i in range(k - 1, len(w)))
+    assert m.n_words == total
+    val = {g: float(N.value(N.level(np.array(n)))) for g, n in c.items()}
+
+    def score(w):
+        bits, out, w = dict(zip(w, m.word_bits(w))), 0.0, ["<", *w, ">"]
+        for i in range(1, len(w)):
+            p = 0.5 / (total + 1) if w[i] == ">" else 2.0 ** bits[w[i]]
+            for k in range(1, min(3, i + 1) + 1):
+                ctx = val.get(tuple(w[i - k + 1 : i]), 0.0) if k > 1 else total
+                if ctx > 0:
+                    p = N.LAMBDA * min(val.get(tuple(w[i - k + 1 : i + 1]), 0.0) / ctx, 1.0) + (1 - N.LAMBDA) * p
+            out += math.log2(p)
+        return out
+
+    some = [w for w in texts if 20 <= len(w) <= 300][:20]
+    mixed = [random.Random(1).sample(w, len(w)) for w in some]
+    r = {x.doc_id: x for x in N.score(docs(*enumerate(" ".join(w) for w in some + mixed)), model=m).collect()}
+    for i, w in enumerate(some + mixed):
+        assert r[i].n_words == len(w) and r[i].word_log2_prob == pytest.approx(score(w), rel=1e-6)
+    assert all(r[i].log2_prob == pytest.approx(r[i + len(some)].log2_prob) and r[i].bits_per_word < r[i + len(some)].bits_per_word for i in range(len(some)))
