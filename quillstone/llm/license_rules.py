@@ -31,7 +31,7 @@ RULES = r"""
 4 ; Unlicense ; released into the public domain ; this is free and unencumbered software released into the public domain
 4 ; BSL-1.0 ; obtaining a copy of the software and accompanying ; any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 4 ; WTFPL ; do what the fuck ; (you just )?do what the fuck you want to( public license)?
-4 ; Apache-2.0 ; http://www.apache.org/licenses ; you may not use this file except in compliance with the license\. you may obtain a copy of the license at https?://www\.apache\.org/licenses/license-2\.0
+4 ; Apache-2.0 ; www.apache.org/licenses ; you may not use this file except in compliance with the license\. you may obtain a copy of the license at https?://www\.apache\.org/licenses/license-2\.0
 4 ; Apache-2.0 ; grant of patent license ; grant of patent license\. subject to the terms and conditions of this license, each contributor hereby grants
 4 ; Apache-1.1 ; apache software foundation ; this product includes software developed by the apache software foundation
 4 ; GPL-2.0-or-later ; either version 2 ; under the terms of the gnu general public license as published by the free software foundation[;,] either version 2
@@ -61,17 +61,17 @@ RULES = r"""
 4 ; CC0-1.0 ; dedicated to the public domain ; dedicated to the public domain by waiving all of (his|her|their) rights
 4 ; SSPL-1.0 ; third parties as a service ; making the functionality of the program .{0,40}?available to third parties as a service
 4 ; SSPL-1.0 ; server side public ; server side public license, version 1
-4 ; BUSL-1.1 ; business source ; the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use
+4 ; BUSL-1.1 ; the licensor hereby grants ; the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use
 4 ; Elastic-2.0 ; hosted or managed service ; you may not provide the software to third parties as a hosted or managed service
-4 ; Commons-Clause ; commons clause ; without limiting other conditions in the license, the grant of rights .{0,80}?does not include.{0,60}?the right to sell
+4 ; Commons-Clause ; without limiting other conditions ; without limiting other conditions in the license, the grant of rights .{0,80}?does not include.{0,60}?the right to sell
 4 ; OpenSSL ; openssl project ; this product includes software developed by the openssl project
 4 ; Python-2.0 ; beopen ; beopen python open source license agreement
-4 ; PSF-2.0 ; python software foundation ; psf is making python available to licensee on an "as is" basis
+4 ; PSF-2.0 ; psf is making python ; psf is making python available to licensee on an "as is" basis
 4 ; PHP-3.01 ; php ; this product includes php software, freely available from
 4 ; PostgreSQL ; without a written agreement ; for any purpose, without fee, and without a written agreement is hereby granted
 4 ; NCSA ; with the software without restriction ; to deal with the software without restriction, including without limitation
 4 ; Sleepycat ; redistributions in any form ; redistributions in any form must be accompanied by information on how to obtain complete source code
-4 ; Beerware ; beer-ware ; if we meet some day, and you think this stuff is worth it, you can buy me a beer
+4 ; Beerware ; if we meet some day ; if we meet some day, and you think this stuff is worth it, you can buy me a beer
 4 ; JSON ; shall be used for good ; the software shall be used for good, not evil
 4 ; ICU ; permission notice appear in all copies ; provided that the above copyright notice\(?s?\)? and this permission notice appear in all copies of the software
 4 ; Libpng ; the png reference library ; the png reference library is supplied "as is"
@@ -93,10 +93,10 @@ RULES = r"""
 4 ; W3C ; w3c ; permission to copy, modify, and distribute this software .{0,40}?w3c
 4 ; Proprietary ; confidential ; (proprietary and confidential|confidential and proprietary)( information)?( of)?
 4 ; Proprietary ; unauthorized copying ; unauthorized copying of this (file|software|document),? via any medium,? is strictly prohibited
-4 ; Proprietary ; may not be reproduced ; no part of this (publication|work|document|book) may be reproduced
-3 ; Apache-2.0 ; apache license ; (licensed|released|distributed|available|made available|published) under (the )?(terms of )?(the )?apache (software )?license,?( version| v\.?)? ?2(\.0)?
-3 ; Apache-1.1 ; apache license ; (licensed|released|distributed|available) under (the )?apache (software )?license,?( version| v\.?)? ?1\.1
-3 ; Apache-1.0 ; apache license ; (licensed|released|distributed|available) under (the )?apache (software )?license,?( version| v\.?)? ?1\.0
+4 ; Proprietary ; no part of this ; no part of this (publication|work|document|book) may be reproduced
+3 ; Apache-2.0 ; apache ; (licensed|released|distributed|available|made available|published) under (the )?(terms of )?(the )?apache (software )?license,?( version| v\.?)? ?2(\.0)?
+3 ; Apache-1.1 ; apache ; (licensed|released|distributed|available) under (the )?apache (software )?license,?( version| v\.?)? ?1\.1
+3 ; Apache-1.0 ; apache ; (licensed|released|distributed|available) under (the )?apache (software )?license,?( version| v\.?)? ?1\.0
 3 ; MIT ; mit licen ; (licensed|released|distributed|available|made available|published) under (the )?(terms of )?(the )?mit[- ]licen[cs]e
 3 ; MIT ; mit-licen ; (is|are) mit[- ]licen[cs]ed
 3 ; X11 ; x11 licen ; (licensed|released|distributed|available) under (the )?x11 licen[cs]e
@@ -174,9 +174,9 @@ RULES = r"""
 3 ; LLAMA ; llama ; llama ?[23]?(\.[0-9])? community licen[cs]e( agreement)?
 3 ; OpenRAIL ; rail ; (open)?rail(\+\+)?-[ms]? licen[cs]e|bigscience (open)?rail[- ][ms]
 2 ; MIT ; mit licen ; (the )?mit licen[cs]e( \(mit\))?
-2 ; Apache-2.0 ; apache license ; apache (software )?license,?( version| v\.?) ?2\.0
+2 ; Apache-2.0 ; apache ; apache (software )?license,?( version| v\.?) ?2\.0
 2 ; Apache-2.0 ; apache-2.0 ; \bapache-2\.0\b
-2 ; Apache ; apache license ; apache (software |public )?license
+2 ; Apache ; apache ; apache (software |public )?license
 2 ; AGPL-3.0 ; affero ; gnu affero general public licen[cs]e( v(ersion)? ?3)?
 2 ; LGPL ; lesser general ; gnu lesser general public licen[cs]e
 2 ; LGPL ; library general ; gnu library general public licen[cs]e

@@ -26,8 +26,8 @@ SCHEMA = "doc_id long, license string, rule string, priority int, start long, en
 
 
 def gated(text: str) -> str:
-    """A text as the keywords see it."""
-    return " ".join(text.lower().replace("-", " ").split())
+    """A text as the keywords see it: what the expressions take for a hyphen or white space (a plus too) is one space."""
+    return " ".join(text.lower().replace("-", " ").replace("+", " ").split())
 
 
 class Scanner:

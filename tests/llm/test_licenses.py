@@ -56,3 +56,53 @@ def test_nulls_empty_repeats_long_and_other_columns(docs, clashing):
     got = L.detect(d).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.start) for r in got) == [(-1, 0), (3, 0), (3, 0), (4, 1000000)]
     assert L.detect(docs()).count() == 0
+
+
+def written(items, most=2000):
+    """Texts that match a parsed expression: every branch, and optional parts both with and without."""
+    outs = [""]
+    for op, a in items:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(a)]
+        elif op == "IN":
+            new = [c for c in " 1azx.-,/\"'\u2013:;()" if re.fullmatch(parsed_class(a), c)][:2] + [chr(v) for k, v in a if str(k) == "LITERAL" and str(a[0][0]) != "NEGATE"]
+        elif op == "BRANCH":
+            new = [t for b in a[1] for t in written(b, most)]
+        elif op == "SUBPATTERN":
+            new = written(a[3], most)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            new = ([""] if a[0] == 0 else []) + [t * max(a[0], 1) for t in written(a[2], most)]
+        else:
+            new = ["z"] if op in ("ANY", "NOT_LITERAL") else [""]
+        outs = [x + y for x in outs for y in dict.fromkeys(new)]
+        if len(outs) > most:
+            outs = random.Random(1).sample(outs, most)
+    return outs
+
+
+def parsed_class(a):
+    kinds = {"CATEGORY_SPACE": r"\s", "CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_NOT_WORD": r"\W"}
+    out = ""
+    for k, v in a:
+        k = str(k)
+        out += "^" if k == "NEGATE" else re.escape(chr(v)) if k == "LITERAL" else f"{re.escape(chr(v[0]))}-{re.escape(chr(v[1]))}" if k == "RANGE" else kinds[str(v)]
+    return f"[{out}]"
+
+
+def test_every_match_holds_its_keyword():
+    wrong, tried = {}, set()
+    for r, _, _, k, e in rules():
+        for t in written(re._parser.parse(e, re.I | re.S)):
+            if re.search(e, t, re.I | re.S):
+                tried.add(r)
+                if L.gated(k) not in L.gated(t):
+                    wrong.setdefault(r, (k, t))
+    assert not wrong and len(tried) > 0.95 * len(rules())
+
+
+def test_optional_parts_of_apache_rules():
+    sc, header = L.Scanner(), "you may not use this file except in compliance with the License. You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"
+    for t in ("Licensed under the Apache Software License, Version 2.0", "the Apache Public License", header):
+        assert sc.scan(t) == brute(t) != []
+    assert [sc.rules[n][1] for _, _, n in sc.scan(header)] == [4]
