@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CHUNK_BYTES = 1 << 18
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = held.get() if held.isDefined() else None
     if not d:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -42,6 +44,38 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, most_rows: int) -> D
     return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, spread_by: str, most: int = 100_000) -> DataFrame:
+    """Inner join with ``right``, a row for each key, whose ``count_col`` says how many rows ``left`` has of it. Keys of more than ``most`` rows are dealt out by a hash of ``spread_by``, and ``right``'s
+    row is repeated for each share; such keys, at most one for ``most`` rows, are broadcast."""
+    shares, salt = fresh(left, "shares"), fresh(left, "salt")
+    n = F.ceil(F.col(count_col) / most).cast("int")
+    hot = F.broadcast(right.where(F.col(count_col) > most).select(*keys, n.alias(shares)))
+    dealt = left.join(hot, keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread_by), F.coalesce(shares, F.lit(1))).cast("int")).drop(shares)
+    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))), [*keys, salt]).drop(salt)
+
+
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ids of type long, in the order of the ids, and ``(name, number)`` to turn them back, or None for ids that are whole numbers already."""
+    if isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(id_col, F.col(id_col).cast("long")), None
+    name, number = fresh(df, "name"), fresh(df, "number")
+    ids = df.select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct().orderBy(name).withColumn(number, F.monotonically_increasing_id())
+    names = materialize(ids, "ids")
+    own = df.join(names, F.col(id_col) == F.col(name), "left").select(*[F.col(number).alias(c) if c == id_col else c for c in df.columns])
+    return own, names.select(F.col(name).alias("name"), F.col(number).alias("number"))
+
+
+def named(df: DataFrame, cols: list[str], names: DataFrame | None) -> DataFrame:
+    """``df`` with the numbers in ``cols`` turned back into ids."""
+    if names is None:
+        return df
+    order = df.columns
+    for c in cols:
+        n = fresh(df, "name_of")
+        df = df.join(names.select(F.col("number").alias(c), F.col("name").alias(n)), c, "left").drop(c).withColumnRenamed(n, c)
+    return df.select(*order)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}
