@@ -1,24 +1,24 @@
 """Operator 2: scores of a language model held in a log-frequency Bloom filter.
 
 Two models share the filter. That of characters has n-grams of 1 to ``ORDER`` characters within a word and its boundaries, that of words n-grams of 1 to ``WORDS`` words within
-a document, with a mark at either end; both are counted over all words of all documents. A count c is
-quantised to ``1 + floor(log_b c)`` levels; an n-gram of level q is entered q times, as (n-gram, 1) ... (n-gram, q). A lookup probes levels from 1 until one is
-missing: a level can be overstated (by a false positive, with probability 2^-k at each step), never understated. Probabilities interpolate the orders
+a document, with a mark at either end; both are counted over all words of all documents. The corpus is scored by itself, so every count is less one, the occurrence at hand: an n-gram that occurs
+once tells nothing but its own place. What is left of a count, c, is quantised to ``1 + floor(log_b c)`` levels; an n-gram of level q is entered q times, as (n-gram, 1) ... (n-gram, q). A lookup probes
+levels from 1 until one is missing: a level can be overstated (by a false positive, with probability 2^-HASHES at each step), never understated. Probabilities interpolate the orders
 (Jelinek-Mercer), every count coming from such probes; word unigrams are backed off to the model of characters.
 
-Partitions count words, then n-grams of their distinct words, so what is shuffled is n-gram counts. The filter is built in segments, in parallel, an n-gram with all
-its levels in one segment of 1 MB (its probes stay in the cache), and broadcast. Its size follows the number of distinct n-grams; those of words grow
-almost as the text does. Beyond ``MAX_BYTES`` it keeps every n-gram and spends fewer bits on each, down to ``LEAST_HASHES``, and past that the job stops
-with an error rather than dropping anything. Scoring looks up the distinct n-grams of a batch.
+N-grams are known by 40 bits of their hash and the number of their bucket, the hash's first bits; buckets grow in number with the corpus, so that n-grams of a bucket stay few beside 2^40. Tasks sort and sum
+what they count before it is shuffled by bucket, and each bucket becomes a segment of the filter, as large as its entries need. Filters of up to ``MAX_BYTES`` are broadcast. Larger ones stay in the shared folder: documents are dealt out over chunks, each chunk
+sends the n-grams it needs to their segments, which are probed there, and the levels come back; scores are the same. Nothing is pruned, and the bits for an entry don't depend on the size.
 
-Defined cases: null and empty texts, or blank ones, have 0 characters, log-probabilities 0 and null bits_per_char and bits_per_word; rows with a null id are counted and scored; repeated rows count
-each time; an empty table gives an empty table; other columns, whatever their names, are not read.
+Defined cases: null and empty texts, or blank ones, have 0 characters, log-probabilities 0 and null bits_per_char and bits_per_word; very long texts are scored whole, within the memory of one task; rows with a null id are
+counted and scored; repeated rows count each time, and so do ties; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,10 +29,14 @@ from pyspark.sql import DataFrame, functions as F
 from quillstone.llm.common import frugal, materialize, mix64
 
 WORDS = 3
-ORDER, BASE, HASHES, LEAST_HASHES, LAMBDA = 5, 1.5, 8, 2, 0.75
-SEGMENT_BITS, MAX_BYTES = 1 << 23, 256 << 20
-_START, _END, TOTAL, N_WORDS = 2, 3, -1, -2  # the keys under which all symbols, and all words and ends of documents, are counted
+ORDER, BASE, HASHES, LAMBDA = 5, 1.5, 8, 0.75
+MAX_BYTES, BUCKET_CHARS, CHUNK_CHARS = 128 << 20, 8 << 20, 16 << 20
+_FLUSH = 6_000_000  # hashes that a task holds before it sorts and sends them
+_START, _END, TOTALS = 2, 3, -1  # TOTALS: the bucket that holds the numbers of symbols, and of words and ends of documents
 _M, _L = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_KEY, _COUNT = np.uint64(40), np.uint64(24)  # bits of a key within its bucket, and of a count packed with it
+_MOST = np.uint64((1 << 24) - 1)
+_BIT = np.array([128 >> i for i in range(8)], np.uint8)
 
 
 def _salt(j: int) -> np.uint64:
@@ -104,8 +108,8 @@ def word_grams(keys: np.ndarray, depth: np.ndarray, order: int) -> tuple[np.ndar
 
 
 def level(count, base: float = BASE):
-    """Quantised level of a count of 1 or more."""
-    return 1 + np.floor(np.log(count) / math.log(base) + 1e-9).astype(np.int64)
+    """Quantised level of a count, 0 of a count below 1."""
+    return np.where(count < 1, 0, 1 + np.floor(np.log(np.maximum(count, 1)) / math.log(base) + 1e-9)).astype(np.int64)
 
 
 def value(q, base: float = BASE):
@@ -113,154 +117,312 @@ def value(q, base: float = BASE):
     return np.where(q > 0, np.power(base, np.maximum(q, 1) - 1.0) * (1 + base) / 2, 0.0)
 
 
+def keys(h: np.ndarray, depth: int) -> np.ndarray:
+    """Bucket (the first ``depth`` bits) and key of hashed n-grams, as one number."""
+    return h >> (np.uint64(64 - depth) - _KEY)
+
+
+def packed(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sorted numbers that hold key (without its bucket) and count; counts too large for one go into several. ``key`` is sorted."""
+    n = (count + int(_MOST) - 1) // int(_MOST)
+    if (n > 1).any():
+        last = np.cumsum(n) - 1
+        key, full = np.repeat(key, n), np.full(int(n.sum()), int(_MOST), np.int64)
+        full[last] = count - (n - 1) * int(_MOST)
+        count = full
+    return ((key & ((np.uint64(1) << _KEY) - np.uint64(1))) << _COUNT) | count.astype(np.uint64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second bytes, and so on: those that hardly change compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def by_bucket(key: np.ndarray, depth: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of the buckets that sorted keys fall into."""
+    bucket = (key >> _KEY).astype(np.int64)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
+        yield int(bucket[lo]), lo, hi
+
+
+def _sent(key: np.ndarray, count: np.ndarray, depth: int) -> pa.RecordBatch:
+    found = [(b, planes(packed(key[lo:hi], count[lo:hi]))) for b, lo, hi in by_bucket(key, depth)]
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], names=["bucket", "grams"])
+
+
 @frugal
-def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], order: int, depth: int) -> Iterator[pa.RecordBatch]:
+    plain: list[np.ndarray] = []  # hashes that count one each
+    heavy: list[tuple[np.ndarray, np.ndarray]] = []  # hashes with their counts
+    totals, held = np.zeros(2, np.int64), 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if plain:
+            h = np.concatenate(plain)
+            plain.clear()
+            h.sort()
+            k = keys(h, depth)
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            yield _sent(k[cut], np.diff(cut, append=len(k)), depth)
+        if heavy:
+            h, c = (np.concatenate(x) for x in zip(*heavy))
+            heavy.clear()
+            at = np.argsort(h)
+            k = keys(h[at], depth)
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            yield _sent(k[cut], np.add.reduceat(c[at], cut), depth)
+        held = 0
+
     for b in batches:
         words, codes, n_words = vocabulary(b.column(0))
+        if not len(codes):
+            continue
         n = np.bincount(codes, minlength=len(words))
-        symbols = sum((len(w) + 1) * int(c) for w, c in zip(words, n))
-        row, depth, _ = sequence(codes, n_words, len(words))
-        yield pa.RecordBatch.from_arrays([pa.array([TOTAL, N_WORDS], pa.int64()), pa.array([symbols, int((depth > 0).sum())], pa.int64())], names=["h", "c"])
-        keys = word_keys(words)[row]
-        for k in range(1, WORDS + 1):
-            inverse, own = pd.factorize(word_grams(keys, depth, k)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(own)))], names=["h", "c"])
+        row, place, _ = sequence(codes, n_words, len(words))
+        totals += [sum((len(w) + 1) * int(c) for w, c in zip(words, n)), int((place > 0).sum())]
+        own = word_keys(words)
+        docs = int((n_words > 0).sum())
+        heavy.append((word_grams(own, np.zeros(len(own), np.int64), 1)[0], np.concatenate([n, [docs, docs]])))
         for lo in range(0, len(words), 100_000):
-            data, depth, word = positions(words[lo : lo + 100_000])
+            data, depths, word = positions(words[lo : lo + 100_000])
             for k in range(1, order + 1):
-                h, at = grams(data, depth, k)
-                inverse, keys = pd.factorize(h)  # by hashing: cheaper than sorting
-                c = np.bincount(inverse, weights=n[lo + word[at]], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[c > 0]), pa.array(c[c > 0])], names=["h", "c"])
-
-
-def enter(bits: np.ndarray, h: np.ndarray, q: np.ndarray, hashes: int) -> None:
-    """Enter n-grams of levels ``q`` into one segment (bool or uint8 bits, unpacked)."""
+                h, at = grams(data, depths, k)
+                inverse, distinct = pd.factorize(h)  # by hashing: cheaper than sorting
+                heavy.append((distinct, np.bincount(inverse, weights=n[lo + word[at]], minlength=len(distinct)).astype(np.int64)))
+                held += len(distinct)
+        own = own[row]
+        for k in range(2, WORDS + 1):
+            h = word_grams(own, place, k)[0]
+            for lo in range(0, len(h), _FLUSH):
+                plain.append(h[lo : lo + _FLUSH])
+                held += len(plain[-1])
+                if held >= _FLUSH:
+                    yield from flush()
+    yield from flush()
+    yield pa.RecordBatch.from_arrays([pa.array([TOTALS], pa.int32()), pa.array([totals.tobytes()], pa.binary())], names=["bucket", "grams"])
+
+
+def _places(key: np.ndarray, j: int, hashes: int, size) -> Iterator[np.ndarray]:
+    """The bits of level ``j`` of the keys, in a segment of ``size`` bits."""
+    x = mix64(key + _salt(j))
+    low = np.uint64(0xFFFFFFFF)
+    a, step = x & low, (x >> np.uint64(32)) | np.uint64(1)
+    for _ in range(hashes):
+        yield ((a & low) * size) >> np.uint64(32)
+        a = a + step
+
+
+def enter(key: np.ndarray, q: np.ndarray, hashes: int) -> bytes:
+    """A segment of the filter that holds the keys at their levels."""
+    size = max(64, math.ceil(int(q.sum()) * hashes / math.log(2) / 64) * 64)
+    bits = np.zeros(size, np.uint8)
     for j in range(1, int(q.max(initial=0)) + 1):
-        x = mix64(h[q >= j] + _salt(j))
-        a, step = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        for place in _places(key[q >= j], j, hashes, np.uint64(size)):
+            bits[place.astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def probe(bits: np.ndarray, key: np.ndarray, first, size: np.ndarray, hashes: int) -> np.ndarray:
+    """Level of each key in its segment, which starts at bit ``first`` and has ``size`` bits."""
+    out, live, j = np.zeros(len(key), np.uint8), np.arange(len(key)), 1
+    low = np.uint64(0xFFFFFFFF)
+    while len(live):
+        x = mix64(key + _salt(j))
+        a, step = x & low, (x >> np.uint64(32)) | np.uint64(1)
+        at = np.arange(len(live))
         for i in range(hashes):
-            bits[((a + np.uint64(i) * step) % np.uint64(len(bits))).astype(np.int64)] = 1
-
-
-@frugal
-def _build(batches: Iterator[pa.RecordBatch], segments: int, hashes: int, base: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, c), those of a segment together, to (segment, bits)."""
-    held: dict[int, np.ndarray] = {}
-    for b in batches:
-        h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        seg, q = h % segments, level(c, base)
-        for s in np.unique(seg):
-            enter(held.setdefault(int(s), np.zeros(SEGMENT_BITS, np.uint8)), h[seg == s].view(np.uint64), q[seg == s], hashes)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["segment", "bits"])
+            p = first[at] + (((a & low) * size[at]) >> np.uint64(32))
+            ok = np.flatnonzero(bits[p >> np.uint64(3)] & _BIT[p & np.uint64(7)])
+            at, step = at[ok], step[ok]
+            a = a[ok] + step
+        live, key, first, size = live[at], key[at], first[at], size[at]
+        out[live] = j
+        j += 1
+    return out
+
+
+def _segment(t: pa.Table, hashes: int, base: float) -> pa.Table:
+    """What all tasks counted in a bucket, to its segment; of the bucket TOTALS, to the totals."""
+    bucket, grams_ = t.column("bucket")[0].as_py(), t.column("grams")
+    if bucket == TOTALS:
+        blob = sum(np.frombuffer(x.as_py(), np.int64) for x in grams_).tobytes()
+    else:
+        x = np.concatenate([unplanes(g.as_py()) for g in grams_])
+        x.sort()
+        key = x >> _COUNT
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        q = level(np.add.reduceat((x & _MOST).astype(np.int64), cut) - 1, base)
+        some = q > 0
+        blob = enter(key[cut][some] | (np.uint64(bucket) << _KEY), q[some], hashes)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([blob], pa.binary())})
+
+
+@dataclass
+class Model:
+    """A trained filter, its segments in a table."""
+
+    table: DataFrame
+    depth: int
+    hashes: int
+    base: float
+    total: int
+    n_words: int
+    size: int  # bytes
+
+    def filter(self) -> Filter:
+        return Filter({r.bucket: bytes(r.bits) for r in self.table.toLocalIterator()}, self.depth, self.hashes, self.base, self.total, self.n_words)
 
 
 class Filter:
     """The filter as workers hold it."""
 
-    def __init__(self, parts: dict[int, bytes], segments: int, hashes: int, total: int, base: float, n_words: int = 0) -> None:
-        self.segments, self.hashes, self.total, self.base, self.n_words = segments, hashes, total, base, n_words
-        self.bits = b"".join(parts.get(s, bytes(SEGMENT_BITS // 8)) for s in range(segments))
+    def __init__(self, parts: dict[int, bytes], depth: int, hashes: int, base: float, total: int = 0, n_words: int = 0) -> None:
+        self.depth, self.hashes, self.base, self.total, self.n_words = depth, hashes, base, total, n_words
+        each = [parts.get(b, bytes(8)) for b in range(1 << depth)]
+        self.bits, self.size = b"".join(each), np.array([len(e) * 8 for e in each], np.uint64)
+        self.first = np.cumsum(self.size, dtype=np.uint64) - self.size
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each hashed n-gram; 0 if the filter lacks it."""
-        bits = np.frombuffer(self.bits, np.uint8)
-        first = (h.view(np.int64) % self.segments) * (SEGMENT_BITS // 8)
-        out, live, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        while len(live):
-            x = mix64(h[live] + _salt(j))
-            a, step = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-            ok = np.arange(len(live))
-            for i in range(self.hashes):
-                p = ((a[ok] + np.uint64(i) * step[ok]) % np.uint64(SEGMENT_BITS)).astype(np.int64)
-                ok = ok[(bits[first[live[ok]] + (p >> 3)] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
-            live = live[ok]
-            out[live] = j
-            j += 1
-        return out
-
-    def word_bits(self, words: list[str], order: int = ORDER, lam: float = LAMBDA) -> np.ndarray:
-        """log2 of the probability of each word, its end mark included."""
-        data, depth, word = positions(words)
-        counts = []
-        for k in range(1, order + 1):
-            h, at = grams(data, depth, k)
-            inverse, keys = pd.factorize(h)  # by hashing: cheaper than sorting
-            full = np.zeros(len(data))
-            full[at] = value(self.levels(keys), self.base)[inverse]
-            counts.append(full)
-        p = (counts[0] + 0.5) / (self.total + 1)
-        for k in range(2, order + 1):
-            at = np.flatnonzero(depth >= k - 1)
-            context, own = counts[k - 2][at - 1], counts[k - 1][at]
-            ml = np.minimum(own / np.maximum(context, 1e-9), 1.0)
-            p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
-        live = depth >= 1
-        return np.bincount(word[live], weights=np.log2(np.minimum(p[live], 1.0)), minlength=len(words))
-
-    def document_bits(self, words: list[str], codes: np.ndarray, counts: np.ndarray, spelt: np.ndarray, lam: float = LAMBDA) -> np.ndarray:
-        """log2 of the probability of each document's words, the end mark included; ``spelt``: log2 of the probability of each word by its characters."""
-        row, depth, doc = sequence(codes, counts, len(words))
-        keys = word_keys(words)[row]
-        p = np.exp2(np.concatenate([spelt, [0.0, math.log2(0.5 / (self.n_words + 1))]]))[row]
-        before = np.full(len(row), float(self.n_words))  # counts of the contexts
-        for k in range(1, WORDS + 1):
-            h, at = word_grams(keys, depth, k)
-            inverse, own = pd.factorize(h)
-            full = np.zeros(len(row))
-            full[at] = value(self.levels(own), self.base)[inverse]
-            at = at[depth[at] >= 1]
-            context = before[at - 1]
-            ml = np.minimum(full[at] / np.maximum(context, 1e-9), 1.0)
-            p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
-            before = full
-        live = depth >= 1
-        return np.bincount(doc[live], weights=np.log2(p[live]), minlength=len(counts))
+        key = keys(h, self.depth)
+        bucket = (key >> _KEY).astype(np.int64)
+        return probe(np.frombuffer(self.bits, np.uint8), key, self.first[bucket], self.size[bucket], self.hashes)
+
+
+Lookup = Callable[[np.ndarray], np.ndarray]
+
+
+def word_bits(words: list[str], levels: Lookup, total: int, order: int = ORDER, lam: float = LAMBDA, base: float = BASE) -> np.ndarray:
+    """log2 of the probability of each word by its characters, its end mark included."""
+    if not words:
+        return np.zeros(0)
+    data, depth, word = positions(words)
+    counts = []
+    for k in range(1, order + 1):
+        h, at = grams(data, depth, k)
+        inverse, distinct = pd.factorize(h)  # by hashing: cheaper than sorting
+        full = np.zeros(len(data))
+        full[at] = value(levels(distinct), base)[inverse]
+        counts.append(full)
+    p = (counts[0] + 0.5) / (total + 1)
+    for k in range(2, order + 1):
+        at = np.flatnonzero(depth >= k - 1)
+        context, own = counts[k - 2][at - 1], counts[k - 1][at]
+        ml = np.minimum(own / np.maximum(context, 1e-9), 1.0)
+        p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
+    live = depth >= 1
+    return np.bincount(word[live], weights=np.log2(np.minimum(p[live], 1.0)), minlength=len(words))
+
+
+def document_bits(words: list[str], codes: np.ndarray, counts: np.ndarray, spelt: np.ndarray, levels: Lookup, n_words: int, lam: float = LAMBDA, base: float = BASE) -> np.ndarray:
+    """log2 of the probability of each document's words, the end mark included; ``spelt``: log2 of the probability of each word by its characters."""
+    row, depth, doc = sequence(codes, counts, len(words))
+    own = word_keys(words)
+    table = value(np.arange(256), base)
+    once = table[levels(word_grams(own, np.zeros(len(own), np.int64), 1)[0])]  # a lookup for each distinct word
+    p = np.exp2(np.concatenate([spelt, [0.0, math.log2(0.5 / (n_words + 1))]]))
+    p = (lam * np.minimum(once / max(n_words, 1), 1.0) + (1 - lam) * p)[row] if n_words else p[row]
+    own, before = own[row], once[row]  # ``before``: counts of the contexts
+    for k in range(2, WORDS + 1):
+        h, at = word_grams(own, depth, k)
+        inverse, distinct = pd.factorize(h)
+        now = np.zeros(len(row))
+        now[at] = table[levels(distinct)][inverse]
+        context = before[at - 1]
+        ml = np.minimum(now[at] / np.maximum(context, 1e-9), 1.0)
+        p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
+        before = now
+    live = depth >= 1
+    return np.bincount(doc[live], weights=np.log2(p[live]), minlength=len(counts))
+
+
+def scores(texts: pa.Array, levels: Lookup, total: int, all_words: int, order: int, lam: float, base: float) -> list[pa.Array]:
+    """Columns (n_symbols, log2_prob, bits_per_char, n_words, word_log2_prob, bits_per_word) of the texts."""
+    words, codes, n_words = vocabulary(texts)
+    bits = np.concatenate([np.zeros(0), *(word_bits(words[lo : lo + 100_000], levels, total, order, lam, base) for lo in range(0, len(words), 100_000))])
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    some = np.flatnonzero(n_words)
+    first = (np.cumsum(n_words) - n_words)[some]
+    lp, n = np.zeros(len(n_words)), np.zeros(len(n_words), np.int64)
+    if len(some):
+        lp[some], n[some] = np.add.reduceat(bits[codes], first), np.add.reduceat(size[codes], first)
+    by_words = document_bits(words, codes, n_words, bits, levels, all_words, lam, base) if len(some) else lp
+    return [pa.array(n, pa.int64()), pa.array(lp, pa.float64()), pa.array(-lp / np.maximum(n, 1), mask=n == 0), pa.array(n_words, pa.int64()), pa.array(by_words, pa.float64()), pa.array(-by_words / (n_words + 1), mask=n_words == 0)]
+
+
+_OUT = ["doc_id", "n_symbols", "log2_prob", "bits_per_char", "n_words", "word_log2_prob", "bits_per_word"]
 
 
 @frugal
 def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> Iterator[pa.RecordBatch]:
-    model: Filter = held.value
+    f: Filter = held.value
     for b in batches:
-        words, codes, n_words = vocabulary(b.column(1))
-        bits = np.concatenate([model.word_bits(words[lo : lo + 100_000], order, lam) for lo in range(0, len(words), 100_000)]) if words else np.zeros(0)
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        some = np.flatnonzero(n_words)
-        first = (np.cumsum(n_words) - n_words)[some]
-        lp, n = np.zeros(len(n_words)), np.zeros(len(n_words), np.int64)
-        if len(some):
-            lp[some], n[some] = np.add.reduceat(bits[codes], first), np.add.reduceat(size[codes], first)
-        by_words = model.document_bits(words, codes, n_words, bits, lam)
-        own = [pa.array(n, pa.int64()), pa.array(lp, pa.float64()), pa.array(-lp / np.maximum(n, 1), mask=n == 0), pa.array(n_words, pa.int64()), pa.array(by_words, pa.float64()), pa.array(-by_words / (n_words + 1), mask=n_words == 0)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *own], names=["doc_id", "n_symbols", "log2_prob", "bits_per_char", "n_words", "word_log2_prob", "bits_per_word"])
-
-
-def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``(h, c)``: count of each n-gram, by its hash, over all texts."""
-    part = docs.select(text_col).where(F.length(text_col) > 0).mapInArrow(lambda it: _count(it, order), "h long, c long")
-    return part.groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: float = BASE, hashes: int = HASHES, max_bytes: int = MAX_BYTES) -> Filter:
-    """Count the corpus and build the filter; see the module's docstring for its size."""
-    table = materialize(counts(docs, text_col, order), "ngrams")
-    levels = F.lit(1) + F.floor(F.log(F.col("c").cast("double")) / math.log(base) + F.lit(1e-9))
-    entries = int(table.select(F.sum(levels)).first()[0] or 0)
-    k = hashes
-    while (segments := max(1, math.ceil(entries * k / math.log(2) / SEGMENT_BITS))) * SEGMENT_BITS // 8 > max_bytes and k > LEAST_HASHES:
-        k -= 1
-    if segments * SEGMENT_BITS // 8 > max_bytes:
-        raise ValueError(f"{entries} entries need more than {max_bytes} bytes; raise max_bytes or base")
-    totals = {r.h: r.c for r in table.where(F.col("h").isin(TOTAL, N_WORDS)).collect()}
-    rows = table.withColumn("seg", F.pmod(F.col("h"), F.lit(segments))).repartition(min(segments, 512), "seg").select("h", "c")
-    built = materialize(rows.mapInArrow(lambda it: _build(it, segments, k, base), "segment int, bits binary"), "segments")
-    parts = {r.segment: bytes(r.bits) for r in built.toLocalIterator()}
-    return Filter(parts, segments, k, totals.get(TOTAL, 0), base, totals.get(N_WORDS, 0))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, lam: float = LAMBDA, model: Filter | None = None) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([b.column(0), *scores(b.column(1), f.levels, f.total, f.n_words, order, lam, f.base)], names=_OUT)
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: float = BASE, hashes: int = HASHES, bucket_chars: int = BUCKET_CHARS) -> Model:
+    """Count the corpus and build the filter's segments; see the module's docstring."""
+    source = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    depth = max(1, math.ceil(math.log2(max(chars, 1) / bucket_chars)))
+    sent = source.mapInArrow(lambda it: _count(it, order, depth), "bucket int, grams binary")
+    table = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _segment(t, hashes, base), "bucket int, bits binary"), "segments")
+    totals = table.where(F.col("bucket") == TOTALS).first()
+    total, n_words = np.frombuffer(totals.bits, np.int64).tolist() if totals else (0, 0)
+    table = table.where(F.col("bucket") != TOTALS)
+    return Model(table, depth, hashes, base, total, n_words, table.agg(F.sum(F.length("bits"))).first()[0] or 0)
+
+
+def _asked(source: DataFrame, model: Model, order: int, lam: float, chunk_chars: int, out: str) -> DataFrame:
+    """The scores of ``source`` (doc_id, text) by a filter that is not broadcast."""
+    depth, base, hashes, totals = model.depth, model.base, model.hashes, (model.total, model.n_words)
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, math.ceil(chars / chunk_chars))
+    dealt = materialize(source.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(n)).cast("int")).withColumn("salt", F.floor(F.rand(3) * 16).cast("int")), "chunks")
+    dealt = dealt.withColumn("chunk", F.col("chunk") * 16 + F.col("salt")).drop("salt")  # repeated rows are dealt out too
+
+    def ask(t: pa.Table) -> pa.Table:
+        asked: list[np.ndarray] = []
+        scores(t.column("text").combine_chunks(), lambda h: (asked.append(h), np.zeros(len(h), np.uint8))[1], *totals, order, lam, base)
+        key = np.unique(keys(np.concatenate([np.empty(0, np.uint64), *asked]), depth))
+        found = [(b, key[lo:hi].tobytes()) for b, lo, hi in by_bucket(key, depth)]
+        chunk = t.column("chunk")[0].as_py()
+        return pa.table({"bucket": pa.array([f[0] for f in found], pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int32()), "keys": pa.array([f[1] for f in found], pa.binary())})
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        levels = []
+        for k in asked.column("keys"):
+            key = np.frombuffer(k.as_py(), np.uint64)
+            bits = np.frombuffer(segment.column("bits")[0].as_py() if len(segment) else bytes(8), np.uint8)
+            levels.append(probe(bits, key, np.zeros(len(key), np.uint64), np.full(len(key), len(bits) * 8, np.uint64), hashes).tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "keys": asked.column("keys"), "levels": pa.array(levels, pa.binary())})
+
+    def score_chunk(t: pa.Table, answers: pa.Table) -> pa.Table:
+        key = np.frombuffer(b"".join(answers.column("keys").to_pylist()), np.uint64)
+        q = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        at = np.argsort(key)
+        key, q = key[at], q[at]
+        found = scores(t.column("text").combine_chunks(), lambda h: q[np.searchsorted(key, keys(h, depth))] if len(h) else np.zeros(0, np.uint8), *totals, order, lam, base)
+        return pa.table([t.column("doc_id"), *found], names=_OUT)
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary")
+    answers = asked.groupBy("bucket").cogroup(model.table.groupBy("bucket")).applyInArrow(answer, "chunk int, keys binary, levels binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk, out)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, lam: float = LAMBDA, model: Model | None = None, max_bytes: int = MAX_BYTES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``(doc_id, n_symbols, log2_prob, bits_per_char, n_words, word_log2_prob, bits_per_word)`` for every document; symbols are characters and the ends of words, and the end of
     a document counts as a word in ``bits_per_word``."""
-    held = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col, order))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _score(it, held, order, lam), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_symbols long, log2_prob double, bits_per_char double, n_words long, word_log2_prob double, bits_per_word double")
+    model = model or train(docs, text_col, order)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_symbols long, log2_prob double, bits_per_char double, n_words long, word_log2_prob double, bits_per_word double"
+    if model.size > max_bytes:
+        return _asked(source, model, order, lam, chunk_chars, out)
+    held = docs.sparkSession.sparkContext.broadcast(model.filter())
+    return source.mapInArrow(lambda it: _score(it, held, order, lam), out)

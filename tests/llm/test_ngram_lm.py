@@ -2,14 +2,13 @@ import math
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from quillstone.llm import ngram_lm as N, registry
 
 
 def brute(texts):
-    """Scores from exact counts of exact n-grams, quantised alike."""
+    """Scores from exact counts of exact n-grams less one, quantised alike."""
     c, total = Counter(), 0
     for t in texts:
         for w in N.tokens(t or ""):
@@ -19,14 +18,14 @@ def brute(texts):
                 for k in range(1, N.ORDER + 1):
                     if i - k + 1 >= 0:
                         c[p[i - k + 1 : i + 1]] += 1
-    val = {g: float(N.value(N.level(np.array(n)))) for g, n in c.items()}
+    val = {g: float(N.value(N.level(np.array(n - 1)))) for g, n in c.items()}
 
     def score(text):
         s = 0.0
         for w in N.tokens(text or ""):
             p = "\2" + w + "\3"
             for i in range(1, len(p)):
-                prob = (val[p[i]] + 0.5) / (total + 1)
+                prob = (val.get(p[i], 0.0) + 0.5) / (total + 1)
                 for k in range(2, min(N.ORDER, i + 1) + 1):
                     ctx = val.get(p[i - k + 1 : i], 0.0)
                     if ctx > 0:
@@ -51,22 +50,30 @@ def test_against_brute_force(spark, small):
 def test_levels_are_never_understated(spark, docs):
     texts = ["the cat and the dog", "the the the", "ça été"]
     _, c, total = brute(texts)
-    m = N.train(docs(*enumerate(texts)))
+    m = N.train(docs(*enumerate(texts))).filter()
     assert m.total == total
     for gram, n in c.items():
         h, _ = N.grams(np.array([ord(x) for x in gram], np.uint32), np.arange(len(gram)), len(gram))
-        assert m.levels(h)[-1] >= N.level(np.array(n))
+        assert m.levels(h)[-1] >= N.level(np.array(n - 1))
 
 
 def test_false_positives_are_rare():
     rng = np.random.default_rng(0)
-    h = rng.integers(0, 1 << 63, 200_000).astype(np.int64)
-    parts = {int(s): x for b in N._build(iter([pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.ones(len(h), np.int64))], names=["h", "c"])]), 1, 8, 1.5) for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-    f = N.Filter(parts, 1, 8, 1, 1.5)
-    assert (f.levels(h.view(np.uint64)) >= 1).all()
+    h = np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2))
+    key = N.keys(h, 3)
+    parts = {b: N.enter(key[lo:hi], np.full(hi - lo, 1), 8) for b, lo, hi in N.by_bucket(key, 3)}
+    f = N.Filter(parts, 3, 8, 1.5)
+    assert len(parts) == 8 and (f.levels(h) >= 1).all()
     assert (f.levels(rng.integers(0, 1 << 63, 100_000).astype(np.uint64)) > 0).mean() < 0.01
 
 
+def test_packing_of_counts_is_exact():
+    key = np.array([3, 7, 9], np.uint64)
+    x = N.unplanes(N.planes(N.packed(key, np.array([1, (1 << 24) + 5, 1 << 26]))))
+    assert (np.diff(x >> np.uint64(24)).astype(np.int64) >= 0).all()
+    assert [int((x[x >> np.uint64(24) == k] & N._MOST).sum()) for k in key] == [1, (1 << 24) + 5, 1 << 26]
+
+
 def test_junk_is_less_likely_than_text(spark, docs, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     m = N.train(d)
@@ -74,11 +81,25 @@ def test_junk_is_less_likely_than_text(spark, docs, small):
     assert r[1] < r[2]
 
 
-def test_size_is_checked(docs):
-    d = docs(*[(i, f"word{i}") for i in range(50)])
-    with pytest.raises(ValueError, match="max_bytes"):
-        N.train(d, max_bytes=1000)
-    assert N.train(d, max_bytes=1 << 20).hashes == N.HASHES
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, small, clashing):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    d = d.unionByName(d.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, "", "en", "s", 0), (None, None, "en", "s", 0)], d.schema))
+    m = N.train(d, bucket_chars=20_000)
+    assert m.depth > 3 and m.size > 1000
+    one, two = (sorted(N.score(clashing(d), model=m, **kw).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_symbols)) for kw in ({}, {"max_bytes": 1000, "chunk_chars": 50_000}))
+    assert one == two and len(one) == d.count()
+
+
+def test_bits_for_an_entry_do_not_depend_on_size(docs):
+    few, many = (N.train(docs(*[(i, f"word{i} word{i}") for i in range(n)])) for n in (50, 500))
+    assert few.hashes == many.hashes == N.HASHES and many.size > 5 * few.size
+
+
+def test_documents_that_occur_twice_stand_apart(spark, docs):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 5000) for _ in range(300)]
+    r = {x.doc_id: x.bits_per_word for x in N.score(docs(*enumerate(texts), *((1000 + i, texts[i]) for i in range(20)))).collect()}
+    assert max(r[i] for i in range(20)) < min(r[i] for i in range(20, 300))
 
 
 def test_nulls_empty_repeats_long_and_other_columns(docs, clashing):
@@ -98,6 +119,7 @@ def test_words_are_scored_in_their_order(spark, docs, small):
 
     d = spark.read.parquet(f"{small}/documents.parquet")
     m = N.train(d, hashes=24)  # next to no false positives
+    f = m.filter()
     texts = [N.tokens(r.text or "") for r in d.collect()]
     c, total = Counter(), 0
     for w in filter(None, texts):
@@ -105,10 +127,10 @@ def test_words_are_scored_in_their_order(spark, docs, small):
         total += len(w) - 1
         c.update(tuple(w[i - k + 1 : i + 1]) for k in (1, 2, 3) for i in range(k - 1, len(w)))
     assert m.n_words == total
-    val = {g: float(N.value(N.level(np.array(n)))) for g, n in c.items()}
+    val = {g: float(N.value(N.level(np.array(n - 1)))) for g, n in c.items()}
 
     def score(w):
-        bits, out, w = dict(zip(w, m.word_bits(w))), 0.0, ["<", *w, ">"]
+        bits, out, w = dict(zip(w, N.word_bits(w, f.levels, f.total))), 0.0, ["<", *w, ">"]
         for i in range(1, len(w)):
             p = 0.5 / (total + 1) if w[i] == ">" else 2.0 ** bits[w[i]]
             for k in range(1, min(3, i + 1) + 1):
