@@ -30,8 +30,9 @@ from quillstone.llm.common import frugal, materialize, mix64
 
 WORDS = 3
 ORDER, BASE, HASHES, LAMBDA = 5, 1.5, 8, 0.75
-MAX_BYTES, BUCKET_CHARS, CHUNK_CHARS = 128 << 20, 8 << 20, 16 << 20
-_FLUSH = 6_000_000  # hashes that a task holds before it sorts and sends them
+MAX_BYTES, BUCKET_CHARS, CHUNK_CHARS, SLICE = 128 << 20, 8 << 20, 8 << 20, 12 << 20
+_FLUSH = 4_000_000  # hashes that a task holds before it sorts and sends them
+_SPELT = 400_000  # words whose bits a task keeps at most
 _START, _END, TOTALS = 2, 3, -1  # TOTALS: the bucket that holds the numbers of symbols, and of words and ends of documents
 _M, _L = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _KEY, _COUNT = np.uint64(40), np.uint64(24)  # bits of a key within its bucket, and of a count packed with it
@@ -56,6 +57,17 @@ def vocabulary(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, codes, counts
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts, in column ``at``, have about ``SLICE`` bytes; a longer text stands alone."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def tokens(text: str) -> list[str]:
     words, codes, _ = vocabulary(pa.array([text]))
     return [words[c] for c in codes]
@@ -90,11 +102,11 @@ def sequence(codes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     doc = np.flatnonzero(counts)
     sizes = counts[doc] + 2
     first = np.cumsum(sizes) - sizes
-    out = np.empty(int(sizes.sum()), np.int64)
+    out = np.empty(int(sizes.sum()), np.int32)
     own = np.ones(len(out), bool)
     own[first] = own[first + sizes - 1] = False
     out[first], out[first + sizes - 1], out[own] = n, n + 1, codes
-    return out, np.arange(len(out)) - np.repeat(first, sizes), np.repeat(doc, sizes)
+    return out, (np.arange(len(out)) - np.repeat(first, sizes)).astype(np.int32), np.repeat(doc.astype(np.int32), sizes)
 
 
 def word_grams(keys: np.ndarray, depth: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +191,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, depth: int) -> Iterato
             yield _sent(k[cut], np.add.reduceat(c[at], cut), depth)
         held = 0
 
-    for b in batches:
+    for b in slices(batches, 0):
         words, codes, n_words = vocabulary(b.column(0))
         if not len(codes):
             continue
@@ -342,10 +354,16 @@ def document_bits(words: list[str], codes: np.ndarray, counts: np.ndarray, spelt
     return np.bincount(doc[live], weights=np.log2(p[live]), minlength=len(counts))
 
 
-def scores(texts: pa.Array, levels: Lookup, total: int, all_words: int, order: int, lam: float, base: float) -> list[pa.Array]:
-    """Columns (n_symbols, log2_prob, bits_per_char, n_words, word_log2_prob, bits_per_word) of the texts."""
+def scores(texts: pa.Array, levels: Lookup, total: int, all_words: int, order: int, lam: float, base: float, spelt: dict[str, float] | None = None) -> list[pa.Array]:
+    """Columns (n_symbols, log2_prob, bits_per_char, n_words, word_log2_prob, bits_per_word) of the texts. ``spelt`` keeps what words have by their characters, for texts to come."""
     words, codes, n_words = vocabulary(texts)
-    bits = np.concatenate([np.zeros(0), *(word_bits(words[lo : lo + 100_000], levels, total, order, lam, base) for lo in range(0, len(words), 100_000))])
+    spelt = {} if spelt is None else spelt
+    if len(spelt) > _SPELT:
+        spelt.clear()
+    new = [w for w in words if w not in spelt]
+    for lo in range(0, len(new), 100_000):
+        spelt.update(zip(new[lo : lo + 100_000], word_bits(new[lo : lo + 100_000], levels, total, order, lam, base).tolist()))
+    bits = np.fromiter(map(spelt.__getitem__, words), float, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     some = np.flatnonzero(n_words)
     first = (np.cumsum(n_words) - n_words)[some]
@@ -362,8 +380,9 @@ _OUT = ["doc_id", "n_symbols", "log2_prob", "bits_per_char", "n_words", "word_lo
 @frugal
 def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> Iterator[pa.RecordBatch]:
     f: Filter = held.value
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), *scores(b.column(1), f.levels, f.total, f.n_words, order, lam, f.base)], names=_OUT)
+    spelt: dict[str, float] = {}
+    for b in slices(batches, 1):
+        yield pa.RecordBatch.from_arrays([b.column(0), *scores(b.column(1), f.levels, f.total, f.n_words, order, lam, f.base, spelt)], names=_OUT)
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: float = BASE, hashes: int = HASHES, bucket_chars: int = BUCKET_CHARS) -> Model:
