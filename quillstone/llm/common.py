@@ -173,6 +173,13 @@ def word_hashes(texts: list[str]):
         yield at, np.bincount(i_all - at, minlength=len(texts) - at), h_all
 
 
+def give_back() -> None:
+    """Return memory that is free to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def frugal(f):
     """Let a function over Arrow batches give its memory back when a partition ends: workers are reused, and what they keep adds up over stages."""
 
@@ -181,8 +188,6 @@ def frugal(f):
         try:
             yield from f(batches, *args, **kw)
         finally:
-            pa.default_memory_pool().release_unused()
-            if _TRIM:
-                _TRIM(0)
+            give_back()
 
     return run

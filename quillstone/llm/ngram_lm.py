@@ -26,12 +26,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.llm.common import frugal, materialize, mix64
+from quillstone.llm.common import frugal, give_back, materialize, mix64
 
 WORDS = 3
 ORDER, BASE, HASHES, LAMBDA = 5, 1.5, 8, 0.75
-MAX_BYTES, BUCKET_CHARS, CHUNK_CHARS, SLICE = 128 << 20, 8 << 20, 8 << 20, 12 << 20
-_FLUSH = 4_000_000  # hashes that a task holds before it sorts and sends them
+MAX_BYTES, BUCKET_CHARS, CHUNK_CHARS, SLICE = 128 << 20, 8 << 20, 8 << 20, 6 << 20
+_FLUSH = 3_000_000  # hashes that a task holds before it sorts and sends them
 _SPELT = 400_000  # words whose bits a task keeps at most
 _START, _END, TOTALS = 2, 3, -1  # TOTALS: the bucket that holds the numbers of symbols, and of words and ends of documents
 _M, _L = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -65,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
         while lo < b.num_rows:
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, side="right")))
             yield b.slice(lo, hi - lo)
+            give_back()
             lo = hi
 
 
@@ -82,9 +83,9 @@ def positions(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes), word
 
 
-def grams(data: np.ndarray, depth: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of ``order`` characters, and the offsets where they end (within one word)."""
-    at = np.flatnonzero(depth >= order - 1)
+def grams(data: np.ndarray, depth: np.ndarray, order: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of ``order`` characters, and the offsets where they end (within one word), of all or of those ``at`` some offsets."""
+    at = np.flatnonzero(depth >= order - 1) if at is None else at
     h = np.full(len(at), _salt(order), np.uint64)
     for j in range(order - 1, -1, -1):
         h = (h ^ data[at - j]) * _M
@@ -109,9 +110,9 @@ def sequence(codes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, (np.arange(len(out)) - np.repeat(first, sizes)).astype(np.int32), np.repeat(doc.astype(np.int32), sizes)
 
 
-def word_grams(keys: np.ndarray, depth: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of ``order`` words, and the offsets where they end (within one document)."""
-    at = np.flatnonzero(depth >= order - 1)
+def word_grams(keys: np.ndarray, depth: np.ndarray, order: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of ``order`` words, and the offsets where they end (within one document), of all or of those ``at`` some offsets."""
+    at = np.flatnonzero(depth >= order - 1) if at is None else at
     h = np.full(len(at), _salt(1000 + order), np.uint64)
     for j in range(order - 1, -1, -1):
         h = (h ^ keys[at - j]) * _M
@@ -201,8 +202,8 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, depth: int) -> Iterato
         own = word_keys(words)
         docs = int((n_words > 0).sum())
         heavy.append((word_grams(own, np.zeros(len(own), np.int64), 1)[0], np.concatenate([n, [docs, docs]])))
-        for lo in range(0, len(words), 100_000):
-            data, depths, word = positions(words[lo : lo + 100_000])
+        for lo in range(0, len(words), 50_000):
+            data, depths, word = positions(words[lo : lo + 50_000])
             for k in range(1, order + 1):
                 h, at = grams(data, depths, k)
                 inverse, distinct = pd.factorize(h)  # by hashing: cheaper than sorting
@@ -272,6 +273,7 @@ def _segment(t: pa.Table, hashes: int, base: float) -> pa.Table:
         q = level(np.add.reduceat((x & _MOST).astype(np.int64), cut) - 1, base)
         some = q > 0
         blob = enter(key[cut][some] | (np.uint64(bucket) << _KEY), q[some], hashes)
+    give_back()
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([blob], pa.binary())})
 
 
@@ -310,24 +312,30 @@ class Filter:
 Lookup = Callable[[np.ndarray], np.ndarray]
 
 
+def _longer(at: np.ndarray, before: np.ndarray, levels: Lookup, table: np.ndarray, hashes: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Counts of the n-grams that end ``at`` some offsets; ``before``: those of one part less. An n-gram has no count if what it ends with has none, so that is not looked up."""
+    out = np.zeros(len(before))
+    some = at[before[at] > 0]
+    inverse, distinct = pd.factorize(hashes(some))
+    out[some] = table[levels(distinct)][inverse]
+    return out
+
+
 def word_bits(words: list[str], levels: Lookup, total: int, order: int = ORDER, lam: float = LAMBDA, base: float = BASE) -> np.ndarray:
     """log2 of the probability of each word by its characters, its end mark included."""
     if not words:
         return np.zeros(0)
     data, depth, word = positions(words)
-    counts = []
-    for k in range(1, order + 1):
-        h, at = grams(data, depth, k)
-        inverse, distinct = pd.factorize(h)  # by hashing: cheaper than sorting
-        full = np.zeros(len(data))
-        full[at] = value(levels(distinct), base)[inverse]
-        counts.append(full)
-    p = (counts[0] + 0.5) / (total + 1)
+    table = value(np.arange(256), base)
+    inverse, distinct = pd.factorize(grams(data, depth, 1)[0])  # by hashing: cheaper than sorting
+    before = table[levels(distinct)][inverse]
+    p = (before + 0.5) / (total + 1)
     for k in range(2, order + 1):
         at = np.flatnonzero(depth >= k - 1)
-        context, own = counts[k - 2][at - 1], counts[k - 1][at]
-        ml = np.minimum(own / np.maximum(context, 1e-9), 1.0)
-        p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
+        at = at[before[at - 1] > 0]
+        own = _longer(at, before, levels, table, lambda some, k=k: grams(data, depth, k, some)[0])
+        p[at] = lam * np.minimum(own[at] / before[at - 1], 1.0) + (1 - lam) * p[at]
+        before = own
     live = depth >= 1
     return np.bincount(word[live], weights=np.log2(np.minimum(p[live], 1.0)), minlength=len(words))
 
@@ -342,13 +350,10 @@ def document_bits(words: list[str], codes: np.ndarray, counts: np.ndarray, spelt
     p = (lam * np.minimum(once / max(n_words, 1), 1.0) + (1 - lam) * p)[row] if n_words else p[row]
     own, before = own[row], once[row]  # ``before``: counts of the contexts
     for k in range(2, WORDS + 1):
-        h, at = word_grams(own, depth, k)
-        inverse, distinct = pd.factorize(h)
-        now = np.zeros(len(row))
-        now[at] = table[levels(distinct)][inverse]
-        context = before[at - 1]
-        ml = np.minimum(now[at] / np.maximum(context, 1e-9), 1.0)
-        p[at] = np.where(context > 0, lam * ml + (1 - lam) * p[at], p[at])
+        at = np.flatnonzero(depth >= k - 1)
+        at = at[before[at - 1] > 0]
+        now = _longer(at, before, levels, table, lambda some, k=k: word_grams(own, depth, k, some)[0])
+        p[at] = lam * np.minimum(now[at] / before[at - 1], 1.0) + (1 - lam) * p[at]
         before = now
     live = depth >= 1
     return np.bincount(doc[live], weights=np.log2(p[live]), minlength=len(counts))
@@ -361,8 +366,8 @@ def scores(texts: pa.Array, levels: Lookup, total: int, all_words: int, order: i
     if len(spelt) > _SPELT:
         spelt.clear()
     new = [w for w in words if w not in spelt]
-    for lo in range(0, len(new), 100_000):
-        spelt.update(zip(new[lo : lo + 100_000], word_bits(new[lo : lo + 100_000], levels, total, order, lam, base).tolist()))
+    for lo in range(0, len(new), 50_000):
+        spelt.update(zip(new[lo : lo + 50_000], word_bits(new[lo : lo + 50_000], levels, total, order, lam, base).tolist()))
     bits = np.fromiter(map(spelt.__getitem__, words), float, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     some = np.flatnonzero(n_words)
@@ -408,7 +413,7 @@ def _asked(source: DataFrame, model: Model, order: int, lam: float, chunk_chars:
 
     def ask(t: pa.Table) -> pa.Table:
         asked: list[np.ndarray] = []
-        scores(t.column("text").combine_chunks(), lambda h: (asked.append(h), np.zeros(len(h), np.uint8))[1], *totals, order, lam, base)
+        scores(t.column("text").combine_chunks(), lambda h: (asked.append(h), np.ones(len(h), np.uint8))[1], *totals, order, lam, base)
         key = np.unique(keys(np.concatenate([np.empty(0, np.uint64), *asked]), depth))
         found = [(b, key[lo:hi].tobytes()) for b, lo, hi in by_bucket(key, depth)]
         chunk = t.column("chunk")[0].as_py()
