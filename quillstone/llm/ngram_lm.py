@@ -3,7 +3,7 @@
 Two models share the filter. That of characters has n-grams of 1 to ``ORDER`` characters within a word and its boundaries, that of words n-grams of 1 to ``WORDS`` words within
 a document, with a mark at either end; both are counted over all words of all documents. The corpus is scored by itself, so every count is less one, the occurrence at hand: an n-gram that occurs
 once tells nothing but its own place. What is left of a count, c, is quantised to ``1 + floor(log_b c)`` levels; an n-gram of level q is entered q times, as (n-gram, 1) ... (n-gram, q). A lookup probes
-levels from 1 until one is missing: a level can be overstated (by a false positive, with probability 2^-HASHES at each step), never understated. Probabilities interpolate the orders
+levels from 1 until one is missing: a level can be overstated (by a false positive, less than once in a hundred steps), never understated. An entry sets eight bits of one block of 256 (two in each word of 64), and the filter has ``BITS`` bits for each entry. Probabilities interpolate the orders
 (Jelinek-Mercer), every count coming from such probes; word unigrams are backed off to the model of characters.
 
 N-grams are known by 40 bits of their hash and the number of their bucket, the hash's first bits; buckets grow in number with the corpus, so that n-grams of a bucket stay few beside 2^40. Tasks sort and sum
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillstone.llm.common import frugal, give_back, materialize, mix64
 
 WORDS = 3
-ORDER, BASE, HASHES, LAMBDA = 5, 1.5, 8, 0.75
+ORDER, BASE, BITS, LAMBDA = 5, 1.5, 14, 0.75
 MAX_BYTES, BUCKET_CHARS, CHUNK_CHARS, SLICE = 128 << 20, 8 << 20, 8 << 20, 6 << 20
 _FLUSH = 3_000_000  # hashes that a task holds before it sorts and sends them
 _SPELT = 400_000  # words whose bits a task keeps at most
@@ -37,7 +37,7 @@ _START, _END, TOTALS = 2, 3, -1  # TOTALS: the bucket that holds the numbers of
 _M, _L = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _KEY, _COUNT = np.uint64(40), np.uint64(24)  # bits of a key within its bucket, and of a count packed with it
 _MOST = np.uint64((1 << 24) - 1)
-_BIT = np.array([128 >> i for i in range(8)], np.uint8)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _salt(j: int) -> np.uint64:
@@ -221,46 +221,50 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, depth: int) -> Iterato
     yield pa.RecordBatch.from_arrays([pa.array([TOTALS], pa.int32()), pa.array([totals.tobytes()], pa.binary())], names=["bucket", "grams"])
 
 
-def _places(key: np.ndarray, j: int, hashes: int, size) -> Iterator[np.ndarray]:
-    """The bits of level ``j`` of the keys, in a segment of ``size`` bits."""
+def _places(key: np.ndarray, j: int, size) -> tuple[np.ndarray, np.ndarray]:
+    """Block of level ``j`` of each key in a segment of ``size`` blocks, and a hash that tells the bits in it."""
     x = mix64(key + _salt(j))
-    low = np.uint64(0xFFFFFFFF)
-    a, step = x & low, (x >> np.uint64(32)) | np.uint64(1)
-    for _ in range(hashes):
-        yield ((a & low) * size) >> np.uint64(32)
-        a = a + step
+    return ((x & _LOW) * size) >> np.uint64(32), x * _M
 
 
-def enter(key: np.ndarray, q: np.ndarray, hashes: int) -> bytes:
+def _bits(y: np.ndarray, word: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits in a word of the block."""
+    return (y >> np.uint64(16 + 12 * word)) & np.uint64(63), (y >> np.uint64(22 + 12 * word)) & np.uint64(63)
+
+
+def enter(key: np.ndarray, q: np.ndarray, bits: int = BITS) -> bytes:
     """A segment of the filter that holds the keys at their levels."""
-    size = max(64, math.ceil(int(q.sum()) * hashes / math.log(2) / 64) * 64)
-    bits = np.zeros(size, np.uint8)
+    size = max(1, math.ceil(int(q.sum()) * bits / 256))
+    held = np.zeros(size * 256, np.uint8)
     for j in range(1, int(q.max(initial=0)) + 1):
-        for place in _places(key[q >= j], j, hashes, np.uint64(size)):
-            bits[place.astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
-def probe(bits: np.ndarray, key: np.ndarray, first, size: np.ndarray, hashes: int) -> np.ndarray:
-    """Level of each key in its segment, which starts at bit ``first`` and has ``size`` bits."""
-    out, live, j = np.zeros(len(key), np.uint8), np.arange(len(key)), 1
-    low = np.uint64(0xFFFFFFFF)
-    while len(live):
-        x = mix64(key + _salt(j))
-        a, step = x & low, (x >> np.uint64(32)) | np.uint64(1)
-        at = np.arange(len(live))
-        for i in range(hashes):
-            p = first[at] + (((a & low) * size[at]) >> np.uint64(32))
-            ok = np.flatnonzero(bits[p >> np.uint64(3)] & _BIT[p & np.uint64(7)])
-            at, step = at[ok], step[ok]
-            a = a[ok] + step
-        live, key, first, size = live[at], key[at], first[at], size[at]
-        out[live] = j
-        j += 1
+        block, y = _places(key[q >= j], j, np.uint64(size))
+        for word in range(4):
+            for bit in _bits(y, word):
+                held[((block * np.uint64(4) + np.uint64(word)) * np.uint64(64) + bit).astype(np.int64)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def probe(words: np.ndarray, key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Level of each key in its segment, which starts at block ``first`` and has ``size`` blocks (of four of the ``words``)."""
+    out, one = np.zeros(len(key), np.uint8), np.uint64(1)
+    for lo in range(0, len(key), 1 << 14):  # what is computed at once stays in the cache
+        live, j = np.arange(lo, min(lo + (1 << 14), len(key))), 1
+        k, f, n = key[live], first[live], size[live]
+        while len(live):
+            block, y = _places(k, j, n)
+            at, lacks = ((f + block) << np.uint64(2)).view(np.int64), np.uint64(0)
+            for word in range(4):
+                a, b = _bits(y, word)
+                mask = (one << a) | (one << b)
+                lacks = lacks | ((words.take(at + word) & mask) ^ mask)
+            ok = np.flatnonzero(lacks == 0)
+            live, k, f, n = live[ok], k[ok], f[ok], n[ok]
+            out[live] = j
+            j += 1
     return out
 
 
-def _segment(t: pa.Table, hashes: int, base: float) -> pa.Table:
+def _segment(t: pa.Table, bits: int, base: float) -> pa.Table:
     """What all tasks counted in a bucket, to its segment; of the bucket TOTALS, to the totals."""
     bucket, grams_ = t.column("bucket")[0].as_py(), t.column("grams")
     if bucket == TOTALS:
@@ -272,7 +276,7 @@ def _segment(t: pa.Table, hashes: int, base: float) -> pa.Table:
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         q = level(np.add.reduceat((x & _MOST).astype(np.int64), cut) - 1, base)
         some = q > 0
-        blob = enter(key[cut][some] | (np.uint64(bucket) << _KEY), q[some], hashes)
+        blob = enter(key[cut][some] | (np.uint64(bucket) << _KEY), q[some], bits)
     give_back()
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([blob], pa.binary())})
 
@@ -283,30 +287,29 @@ class Model:
 
     table: DataFrame
     depth: int
-    hashes: int
     base: float
     total: int
     n_words: int
     size: int  # bytes
 
     def filter(self) -> Filter:
-        return Filter({r.bucket: bytes(r.bits) for r in self.table.toLocalIterator()}, self.depth, self.hashes, self.base, self.total, self.n_words)
+        return Filter({r.bucket: bytes(r.bits) for r in self.table.toLocalIterator()}, self.depth, self.base, self.total, self.n_words)
 
 
 class Filter:
     """The filter as workers hold it."""
 
-    def __init__(self, parts: dict[int, bytes], depth: int, hashes: int, base: float, total: int = 0, n_words: int = 0) -> None:
-        self.depth, self.hashes, self.base, self.total, self.n_words = depth, hashes, base, total, n_words
-        each = [parts.get(b, bytes(8)) for b in range(1 << depth)]
-        self.bits, self.size = b"".join(each), np.array([len(e) * 8 for e in each], np.uint64)
+    def __init__(self, parts: dict[int, bytes], depth: int, base: float, total: int = 0, n_words: int = 0) -> None:
+        self.depth, self.base, self.total, self.n_words = depth, base, total, n_words
+        each = [parts.get(b, bytes(32)) for b in range(1 << depth)]
+        self.bits, self.size = b"".join(each), np.array([len(e) // 32 for e in each], np.uint64)
         self.first = np.cumsum(self.size, dtype=np.uint64) - self.size
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each hashed n-gram; 0 if the filter lacks it."""
         key = keys(h, self.depth)
         bucket = (key >> _KEY).astype(np.int64)
-        return probe(np.frombuffer(self.bits, np.uint8), key, self.first[bucket], self.size[bucket], self.hashes)
+        return probe(np.frombuffer(self.bits, np.uint64), key, self.first[bucket], self.size[bucket])
 
 
 Lookup = Callable[[np.ndarray], np.ndarray]
@@ -390,22 +393,22 @@ def _score(batches: Iterator[pa.RecordBatch], held, order: int, lam: float) -> I
         yield pa.RecordBatch.from_arrays([b.column(0), *scores(b.column(1), f.levels, f.total, f.n_words, order, lam, f.base, spelt)], names=_OUT)
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: float = BASE, hashes: int = HASHES, bucket_chars: int = BUCKET_CHARS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: float = BASE, bits: int = BITS, bucket_chars: int = BUCKET_CHARS) -> Model:
     """Count the corpus and build the filter's segments; see the module's docstring."""
     source = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     depth = max(1, math.ceil(math.log2(max(chars, 1) / bucket_chars)))
     sent = source.mapInArrow(lambda it: _count(it, order, depth), "bucket int, grams binary")
-    table = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _segment(t, hashes, base), "bucket int, bits binary"), "segments")
+    table = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _segment(t, bits, base), "bucket int, bits binary"), "segments")
     totals = table.where(F.col("bucket") == TOTALS).first()
     total, n_words = np.frombuffer(totals.bits, np.int64).tolist() if totals else (0, 0)
     table = table.where(F.col("bucket") != TOTALS)
-    return Model(table, depth, hashes, base, total, n_words, table.agg(F.sum(F.length("bits"))).first()[0] or 0)
+    return Model(table, depth, base, total, n_words, table.agg(F.sum(F.length("bits"))).first()[0] or 0)
 
 
 def _asked(source: DataFrame, model: Model, order: int, lam: float, chunk_chars: int, out: str) -> DataFrame:
     """The scores of ``source`` (doc_id, text) by a filter that is not broadcast."""
-    depth, base, hashes, totals = model.depth, model.base, model.hashes, (model.total, model.n_words)
+    depth, base, totals = model.depth, model.base, (model.total, model.n_words)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / chunk_chars))
     dealt = materialize(source.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(n)).cast("int")).withColumn("salt", F.floor(F.rand(3) * 16).cast("int")), "chunks")
@@ -423,8 +426,8 @@ def _asked(source: DataFrame, model: Model, order: int, lam: float, chunk_chars:
         levels = []
         for k in asked.column("keys"):
             key = np.frombuffer(k.as_py(), np.uint64)
-            bits = np.frombuffer(segment.column("bits")[0].as_py() if len(segment) else bytes(8), np.uint8)
-            levels.append(probe(bits, key, np.zeros(len(key), np.uint64), np.full(len(key), len(bits) * 8, np.uint64), hashes).tobytes())
+            words = np.frombuffer(segment.column("bits")[0].as_py() if len(segment) else bytes(32), np.uint64)
+            levels.append(probe(words, key, np.zeros(len(key), np.uint64), np.full(len(key), len(words) // 4, np.uint64)).tobytes())
         return pa.table({"chunk": asked.column("chunk"), "keys": asked.column("keys"), "levels": pa.array(levels, pa.binary())})
 
     def score_chunk(t: pa.Table, answers: pa.Table) -> pa.Table:

@@ -40,7 +40,7 @@ def test_against_brute_force(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     rows = {r.doc_id: r.text for r in d.collect()}
     score, _, _ = brute(rows.values())
-    many = N.train(d, hashes=24)  # next to no false positives
+    many = N.train(d, bits=60)  # next to no false positives
     got = {r.doc_id: r.log2_prob for r in N.score(d, model=many).collect()}
     assert got == pytest.approx({i: score(t) for i, t in rows.items()}, rel=1e-6)
     usual = {r.doc_id: r.log2_prob for r in registry.QUERIES["op2_lm_scoring"](spark, small).collect()}
@@ -61,8 +61,8 @@ def test_false_positives_are_rare():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2))
     key = N.keys(h, 3)
-    parts = {b: N.enter(key[lo:hi], np.full(hi - lo, 1), 8) for b, lo, hi in N.by_bucket(key, 3)}
-    f = N.Filter(parts, 3, 8, 1.5)
+    parts = {b: N.enter(key[lo:hi], np.full(hi - lo, 1)) for b, lo, hi in N.by_bucket(key, 3)}
+    f = N.Filter(parts, 3, 1.5)
     assert len(parts) == 8 and (f.levels(h) >= 1).all()
     assert (f.levels(rng.integers(0, 1 << 63, 100_000).astype(np.uint64)) > 0).mean() < 0.01
 
@@ -91,8 +91,12 @@ def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, small, cla
 
 
 def test_bits_for_an_entry_do_not_depend_on_size(docs):
+    def entries(n):  # of the words and of their characters
+        text = [f"word{i}" for i in range(n)] * 2
+        return sum(int(N.level(np.array(c - 1))) for c in [*brute(text)[1].values(), *Counter(text).values()])
+
     few, many = (N.train(docs(*[(i, f"word{i} word{i}") for i in range(n)])) for n in (50, 500))
-    assert few.hashes == many.hashes == N.HASHES and many.size > 5 * few.size
+    assert many.size > 5 * few.size and abs(many.size * 8 / entries(500) - few.size * 8 / entries(50)) < N.BITS / 2
 
 
 def test_documents_that_occur_twice_stand_apart(spark, docs):
@@ -118,7 +122,7 @@ def test_words_are_scored_in_their_order(spark, docs, small):
     import random
 
     d = spark.read.parquet(f"{small}/documents.parquet")
-    m = N.train(d, hashes=24)  # next to no false positives
+    m = N.train(d, bits=60)  # next to no false positives
     f = m.filter()
     texts = [N.tokens(r.text or "") for r in d.collect()]
     c, total = Counter(), 0
