@@ -1,17 +1,17 @@
 """Operator 3: information-theoretic sanitisation of personal data.
 
 Protected entities are found by shape: e-mail addresses, telephone numbers, IP addresses, payment card and account numbers, secrets
-assigned to a name. An entity reveals itself entirely, so it is always generalised to its kind (``[EMAIL]``). A term near an entity may reveal
-it too: with n(.) the number of documents of the corpus, PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) is what t tells of e, and IC(e) = log2(N / n(e)) what
-there is to know. In documents that mention e, a term with PMI / IC of at least ``threshold`` is generalised to ``[TERM]``, and from ``remove`` on removed. All
-counts are over the whole corpus; contexts that repeat word for word count once, so copies of a document are no evidence, and a term counts only with
-``support`` different contexts. Terms are words of four letters or more, without digits, within ``window`` words of the mention.
+assigned to a name, keys. An entity reveals itself entirely, so it is always generalised to its kind (``[EMAIL]``). A term near an entity may reveal
+it too. With n(.) the number of documents of the corpus, p(e) = n(e) / N and IC(e) = -log2 p(e), what there is to know of e. Of the documents that hold the term t, a share n(e, t) / n(t) mention e near it; as the
+evidence may be thin, the share is shrunk to what is known without it: p(e | t) = (k n(e, t) / n(t) + ``PRIOR`` p(e)) / (k + ``PRIOR``), with k the number of different contexts in which the two stand together (contexts that repeat word for
+word count once, so copies are no evidence). PMI(e; t) = log2 p(e | t) / p(e) is what t tells of e. In documents that mention e, a term with PMI / IC of at least ``threshold`` is generalised to ``[TERM]``, and from ``remove`` on removed. Every pair is
+scored, those met once as well; all counts are over the whole corpus. Terms are words of four letters or more, without digits, within ``window`` words of a mention.
 
-Two light passes find mentions and count the surviving terms, one rewrites. Only (entity, term, context) hashes are shuffled, never texts, unless the flagged
-documents are too many to broadcast.
+One light pass finds mentions, one counts the terms near them, one rewrites. Only (entity, term, context) hashes are shuffled, never texts, unless the flagged
+documents are too many to broadcast (``SMALL``). Up to ``MOST_TERMS`` terms are broadcast to be counted; of more, the counts of all words are joined with them. Both count the same words.
 
-Defined cases: null texts stay null, empty ones empty; texts without an entity come back unchanged; rows with a null id are sanitised by shape
-alone, as no terms can be tied to them; repeated rows are each rewritten; rows of one doc_id count as one document; an empty table gives an empty table;
+Defined cases: null texts stay null, empty ones empty; texts without an entity come back unchanged, however long; a very long text is one document, and its entities have no greatest length; rows with a null id are sanitised by shape
+alone, as no terms can be tied to them; repeated rows are each rewritten; rows of one doc_id count as one document; ids may be of any type; of terms that tie all are replaced; an empty table gives an empty table;
 columns of other names are kept by ``sanitize_rows`` and not read by ``sanitize``.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillstone.llm.common import fresh, frugal, joined, materialize
 
-WINDOW, SUPPORT, THRESHOLD, REMOVE = 5, 2, 0.8, 0.97
-SMALL, MOST_TERMS = 2_000_000, 1_000_000
+WINDOW, PRIOR, THRESHOLD, REMOVE = 5, 1.0, 0.8, 0.97
+SMALL, MOST_TERMS = 100_000, 500_000
 
 SHAPES = [
+    ("PEM", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\s]*)"),
     ("EMAIL", r"[A-Za-z0-9._%+\-\u00C0-\u024F]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
-    ("SECRET", r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[:=]\s*)(?:"[^"\n]{6,200}"|'[^'\n]{6,200}'|[A-Za-z0-9+/_\-]{12,200}={0,2})"""),
+    ("SECRET", r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[:=]\s*)(?:"[^"\n]{6,}"|'[^'\n]{6,}'|[A-Za-z0-9+/_\-]{12,}={0,2})"""),
     ("KEY", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{40}|[0-9a-f]{64})\b"),
     ("IBAN", r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"),
     ("CARD", r"(?<![\d.])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?![\d])"),
@@ -40,8 +42,8 @@ SHAPES = [
     ("PHONE", r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"),
 ]
 _ENTITY = re.compile("|".join(f"(?P<{k}>{e})".replace(r"\1", r"(?P=sep)").replace(r"([ \-]?)", r"(?P<sep>[ \-]?)") for k, e in SHAPES))
-_MAY = re.compile(r"[@0-9]|(?i:token|secret|passw|pwd|[_-]key)")
-MAY = r"[@0-9]|(?i)(token|secret|passw|pwd|[_-]key)"
+_MAY = re.compile(r"[@0-9]|(?i:token|secret|passw|pwd|(?:api|access|private)[ _-]?key)")
+MAY = r"[@0-9]|(?i)(token|secret|passw|pwd|(api|access|private)[ _-]?key)"
 _TERM = re.compile(r"[^\W\d_]{4,}")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -55,14 +57,31 @@ def digest(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def _before(text: str, start: int, end: int, window: int) -> list[str]:
+    """The last ``window`` words, folded, of ``text[start:end]``; no more of it is read than they need."""
+    size = 16 * window
+    while True:
+        size *= 4
+        words = _WORD.findall(text[max(start, end - size) : end].casefold())
+        if end - size <= start or len(words) > window:  # one more than needed, as the first may be cut
+            return words[-window:]
+
+
+def _after(text: str, start: int, end: int, window: int) -> list[str]:
+    size = 16 * window
+    while True:
+        size *= 4
+        words = _WORD.findall(text[start : min(end, start + size)].casefold())
+        if start + size >= end or len(words) > window:
+            return words[:window]
+
+
 def contexts(text: str, found: list[tuple[int, int, str, str]], window: int = WINDOW) -> list[tuple[int, list[str], int]]:
     """For each mention: hash of the entity, the terms near it (folded, distinct), hash of the context word for word."""
     out = []
     for n, (s, e, _, value) in enumerate(found):
         left_end, right_start = (found[n - 1][1] if n else 0), (found[n + 1][0] if n + 1 < len(found) else len(text))
-        left = _WORD.findall(text[max(left_end, s - 40 * window) : s])[-window:]
-        right = _WORD.findall(text[e : min(right_start, e + 40 * window)])[:window]
-        near = [w.casefold() for w in left + right]
+        near = _before(text, left_end, s, window) + _after(text, e, right_start, window)
         out.append((digest(value), sorted({w for w in near if _TERM.fullmatch(w)}), digest(" ".join(near))))
     return out
 
@@ -77,7 +96,7 @@ def _mentions(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
                 doc.append(d)
                 ctx.append(c)
                 terms.append(near)
-        yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(doc, pa.int64()), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "doc", "ctx", "terms"])
+        yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(doc, b.column(0).type), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "doc", "ctx", "terms"])
 
 
 @frugal
@@ -90,28 +109,33 @@ def _count(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
 
-def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+@frugal
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of a batch's texts that hold each word that could be a term."""
+    for b in batches:
+        n = Counter(w for t in b.column(0).to_pylist() for w in set(_WORD.findall(t.casefold())) if _TERM.fullmatch(w))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+
+def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prior: float = PRIOR, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``(entity, term, pmi, ic, disclosure)`` that reach ``threshold``, and the mentions ``(entity, doc, ctx, terms)``."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    seen = materialize(source.where(F.col("text").rlike(MAY)).mapInArrow(lambda it: _mentions(it, window), "entity long, doc long, ctx long, terms array<string>"), "mentions")
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    seen = materialize(source.where(F.col("text").rlike(MAY)).mapInArrow(lambda it: _mentions(it, window), f"entity long, doc {kind}, ctx long, terms array<string>"), "mentions")
     near = seen.select("entity", "doc", "ctx", F.explode("terms").alias("term"))
-    both = near.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("contexts"), F.count_distinct("doc").alias("n_both")).where(F.col("contexts") >= support)
-    both = materialize(both, "pairs")
-    terms = both.select("term").distinct()
+    both = materialize(near.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("contexts"), F.count_distinct("doc").alias("n_both")), "pairs")
+    terms = materialize(both.select("term").distinct(), "terms")
     total = source.select(F.count("*")).first()[0]
-    if terms.count() <= MOST_TERMS:
+    if (n_terms := terms.count()) <= MOST_TERMS:
         held = spark.sparkContext.broadcast(frozenset(r.term for r in terms.toLocalIterator()))
-        df = source.select("text").mapInArrow(lambda it: _count(it, held), "term string, n long") if held.value else None
-    else:  # too many to hold: count by joining the words themselves
-        words = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-        df = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    if df is None:
-        df = terms.select("term", F.lit(0).cast("long").alias("n"))
+        df = source.select("text").mapInArrow(lambda it: _count(it, held), "term string, n long") if n_terms else terms.select("term", F.lit(0).cast("long").alias("n"))
+    else:
+        df = source.select("text").mapInArrow(_words, "term string, n long").join(terms, "term", "left_semi")
     n_term = df.groupBy("term").agg(F.sum("n").alias("n_term"))
     n_ent = seen.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
-    ratio = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    scored = both.join(n_ent, "entity").join(n_term, "term").select("entity", "term", ratio.alias("pmi"), F.log2(F.lit(float(max(total, 1))) / F.col("n_entity")).alias("ic"))
+    p_e, k = F.col("n_entity") / F.lit(float(max(total, 1))), F.col("contexts")
+    p = (k * F.col("n_both") / F.greatest("n_term", "n_both") + F.lit(prior) * p_e) / (k + F.lit(prior))
+    scored = both.join(n_ent, "entity").join(n_term, "term").select("entity", "term", F.log2(p / p_e).alias("pmi"), (-F.log2(p_e)).alias("ic"))
     scored = scored.where("ic > 0").withColumn("disclosure", F.col("pmi") / F.col("ic"))
     return scored.where(F.col("disclosure") >= threshold), seen
 
@@ -131,9 +155,10 @@ def rewrite(text: str, general: frozenset[str] = frozenset(), removed: frozenset
         def one(m: re.Match) -> str:
             nonlocal n_terms
             w = m.group().casefold()
-            if w in removed or w in general:
+            w = {w} if w.isalnum() else set(_WORD.findall(w))  # folding can part a word
+            if gone := w & removed or w & general:
                 n_terms += 1
-                return "" if w in removed else "[TERM]"
+                return "" if gone & removed else "[TERM]"
             return m.group()
 
         return _WORD.sub(one, part)
@@ -172,7 +197,7 @@ def sanitize_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     g, r, n_e, n_t, key = fresh(docs, "general"), fresh(docs, "removed"), fresh(docs, "n_entities"), fresh(docs, "n_terms"), fresh(docs, "doc_key")
     per = rows.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.when(F.col("d") < remove, F.col("term"))).alias(g), F.collect_set(F.when(F.col("d") >= remove, F.col("term"))).alias(r))
     per = materialize(per, "flagged")
-    out = joined(docs.withColumn(key, F.col(id_col).cast("long")), per, key, "left", SMALL // 20)
+    out = joined(docs.withColumn(key, F.col(id_col)), per, key, "left", SMALL)
     rest = [c for c in docs.columns if c != text_col]
     schema = ", ".join(["c0 string", *(f"c{i + 3} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)), "e int", "t int"])
     new = out.select(text_col, g, r, *rest).mapInArrow(_rewrite, schema)
