@@ -7,7 +7,7 @@ BUCKETS x languages floats, broadcast, whose size does not depend on the data.
 
 Rejection is calibrated on rows held out of the sample: a temperature is fitted to the softmax; a text is rejected if its confidence
 is below the ``REJECT`` quantile of the held-out rows' (at most ``MAX_CONFIDENCE``), or if the share of its subwords whose buckets training met is below
-half their least share. Prediction hashes every character of every text.
+half their least share. Prediction hashes every character of every text; texts of more than ``LONG`` characters in overlapping pieces, whose sums are those of the whole.
 
 Defined cases: texts without letters (null and empty ones too) are rejected with language ``und`` and confidence 0; a tie goes to the first
 language by name; rows with a null id are classified as any other; repeated rows each get the same answer; without labelled rows everything is
@@ -16,7 +16,6 @@ language by name; rows with a null id are classified as any other; repeated rows
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +30,7 @@ FIT_ROWS, BUCKETS, DIM, EPOCHS, RATE = 6000, 1 << 18, 16, 4, 1.5
 ORDERS = (2, 3, 4)
 REJECT, MAX_CONFIDENCE = 0.001, 0.5
 CHUNK = 1 << 18
+LONG = 4 * CHUNK
 
 _fold: list[np.ndarray] = []
 
@@ -74,9 +74,12 @@ def subwords(points: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.nd
 
 
 def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK characters; a longer one stands alone."""
+    """Runs of texts of about CHUNK characters; one of more than LONG stands alone, wherever it comes."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
+        if held and len(t) > LONG:
+            yield first, held
+            first, held, size = i, [], 0
         held.append(t)
         size += len(t)
         if size >= CHUNK:
@@ -86,6 +89,14 @@ def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """Folded code points of a text between spaces, in pieces that overlap by the longest n-gram less one, so that each n-gram starts in one piece only."""
+    for lo in range(0, len(text) + 2, CHUNK):
+        hi = lo + CHUNK + max(ORDERS) - 1
+        part = " " * (lo == 0) + text[max(lo - 1, 0) : hi - 1] + " " * (hi >= len(text) + 2)
+        yield _table()[np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)]
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -97,15 +108,15 @@ class Model:
 
 
 def totals(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the table's rows over each text's subwords, and their number; a long text is taken in pieces that overlap by the n-grams' length."""
+    """Sums of the table's rows over each text's subwords, and their number. A long text is taken alone, in pieces, so what it gives doesn't depend on its neighbours."""
     out, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
     for first, held in groups(texts):
-        if len(held) == 1 and len(held[0]) > 4 * CHUNK:
-            pieces = [m.group() for m in re.finditer(r"(?s).{1,%d}(?:\s|\Z)|.{1,%d}" % (CHUNK, CHUNK), held[0])]
-            for p in pieces:
-                s, k = totals([p], table)
-                out[first] += s[0]
-                n[first] += k[0]
+        if len(held[0]) > LONG:
+            for points in pieces(held[0]):
+                for b, ok in subwords(points):
+                    at = b[:CHUNK][ok[:CHUNK]]
+                    out[first] += table[at].sum(axis=0, dtype=np.float64)
+                    n[first] += len(at)
             continue
         points, ends = _points(held)
         for b, ok in subwords(points):

@@ -57,11 +57,53 @@ def test_batches_and_long_texts_do_not_matter(rows, model, monkeypatch):
     s, n = L.totals(texts, model.table)
     one = [L.totals([t], model.table) for t in texts]
     assert np.allclose(s, [x[0][0] for x in one]) and np.allclose(n, [x[1][0] for x in one])
-    long = " ".join(texts)
+    long = " ".join(texts) + "xyz" * 9000  # and a word longer than a piece
     want = L.totals([long], model.table)
     monkeypatch.setattr(L, "CHUNK", 3000)
-    got = L.totals([long], model.table)
-    assert np.allclose(got[1], want[1], rtol=1e-3) and np.allclose(got[0], want[0], rtol=1e-2, atol=1)
+    monkeypatch.setattr(L, "LONG", 12000)
+    for size in (2999, 3000, 3001, 3002, 3003):
+        monkeypatch.setattr(L, "CHUNK", size)
+        got = L.totals([long], model.table)
+        assert np.array_equal(got[1], want[1]) and np.allclose(got[0], want[0], rtol=1e-9)
+    alone, after = L.totals([long, "a"], model.table), L.totals(["a", long], model.table)
+    assert np.array_equal(alone[0][0], after[0][1]) and np.array_equal(alone[1][0], after[1][1])
+
+
+def plain(model, text):
+    """Softmax of the mean of the rows of every n-gram of every word, looked up one at a time."""
+    mask, total, n = 0xFFFFFFFF, np.zeros(model.table.shape[1]), 0
+    word: list[int] = [32]
+    for c in [*L._table()[[ord(c) for c in text]].tolist(), 32] if text else [32]:
+        word.append(c)
+        if c != 32:
+            continue
+        if len(word) > 2:
+            for order in L.ORDERS:
+                for i in range(len(word) - order + 1):
+                    mixed = [(x * 0x9E3779B1 & mask) for x in word[i : i + order]]
+                    mixed = [m ^ (m >> 15) for m in mixed]
+                    h = mixed[0]
+                    for m in mixed[1:]:
+                        h = (h * 0x85EBCA77 + m) & mask
+                    total += model.table[((h ^ (h >> 13)) * 0xC2B2AE3D & mask) >> (32 - L.BUCKETS.bit_length() + 1)]
+                    n += 1
+        word = [32]
+    if not n:
+        return "und", 0.0, False
+    z = np.exp((total[:-1] / n + model.bias) / model.temperature)
+    best = int(z.argmax())
+    return model.langs[best], z[best] / z.sum(), z[best] / z.sum() >= model.confidence and total[-1] / n >= model.known
+
+
+def test_query_against_plain_loops(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    model = L.fit(d)
+    got = {r.doc_id: r for r in registry.QUERIES["op1_language_id"](spark, small).collect()}
+    rows = [r for r in d.collect() if len(r.text) < 4000]
+    assert len(got) == d.count() and len(rows) > 150
+    for r in rows:
+        lang, conf, ok = plain(model, r.text)
+        assert (got[r.doc_id].predicted_lang, got[r.doc_id].accepted) == (lang, ok) and got[r.doc_id].confidence == pytest.approx(conf, abs=1e-5)
 
 
 def test_whole_table(spark, small):
