@@ -7,7 +7,7 @@ if it spans ``min_run`` words, or all the words of an item with ``min_words`` at
 The automaton is built on each worker from the broadcast items. Items of more than ``most_chars`` characters in all are split over
 several scans of the same kind, so that what is broadcast at once is bounded.
 
-Defined cases: null or empty texts, and items of fewer than ``min_words`` words, match nothing; repeated items report
+Defined cases: a very long text is scanned whole; matches that tie or overlap are all reported, by place and then in the order of the items; ids may be of any type; null or empty texts, and items of fewer than ``min_words`` words, match nothing; repeated items report
 each item_id; repeated rows each report their matches; rows with a null id are scanned and reported with that null;
 empty tables give no rows; other columns, whatever their names, are not read.
 """
@@ -21,11 +21,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.llm.common import frugal
 
 GRAM, MIN_RUN, MIN_WORDS, MOST_CHARS = 8, 13, 5, 20_000_000
-SCHEMA = "doc_id long, item_id long, start long, end long, n_words int, passage string"
 _GAP = re.compile(r"[\W_]+")
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -109,7 +109,7 @@ def _held(held, gram: int, min_words: int) -> tuple:
 
 
 @frugal
-def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], held, item_kind: pa.DataType, gram: int, min_run: int, min_words: int) -> Iterator[pa.RecordBatch]:
     items, auto, lens = _held(held, gram, min_words)
     for b in batches:
         rows: list[list] = [[], [], [], [], [], []]
@@ -118,7 +118,7 @@ def _scan(batches: Iterator[pa.RecordBatch], held, gram: int, min_run: int, min_
                 for k, s, e, n in find(t, auto, lens, min_run) if t else ():
                     for col, v in zip(rows, (d, items[k][0], s, e, n, t[s:e])):
                         col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        kinds = (b.column(0).type, item_kind, pa.int64(), pa.int64(), pa.int32(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "item_id", "start", "end", "n_words", "passage"])
 
 
@@ -130,27 +130,29 @@ def _filter(batches: Iterator[pa.RecordBatch], held, at: int, gram: int, min_run
         yield b if auto is None else b.filter(pa.array([not (t and find(t, auto, lens, min_run)) for t in b.column(at).to_pylist()], pa.bool_()))
 
 
-def _parts(benchmark: DataFrame, item_col: str, item_text_col: str, most_chars: int) -> list[list[tuple[int, str]]]:
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    parts: list[list[tuple[int, str]]] = [[]]
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str, most_chars: int) -> Iterator[list[tuple]]:
+    """The items in parts of up to ``most_chars`` characters (a longer item is one), one part at a time; an empty one if there are none."""
+    part: list[tuple] = []
     size = 0
-    for r in items.orderBy("i", "t").toLocalIterator():  # one part at a time is what a worker holds
-        if parts[-1] and size + len(r.t) > most_chars:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.i, r.t))
+    for r in benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull()).orderBy("i", "t").toLocalIterator():
+        if part and size + len(r.t) > most_chars:
+            yield part
+            part, size = [], 0
+        part.append((r.i, r.t))
         size += len(r.t)
-    return parts
+    yield part
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, min_run: int = MIN_RUN, min_words: int = MIN_WORDS, most_chars: int = MOST_CHARS) -> DataFrame:
     """``(doc_id, item_id, start, end, n_words, passage)`` of each benchmark run found in ``docs``; ``passage`` is ``text[start:end]``."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    item = benchmark.schema[item_col].dataType
+    schema, item_kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {item.simpleString()}, start long, end long, n_words int, passage string", to_arrow_type(item)
     found = None
     for part in _parts(benchmark, item_col, item_text_col, most_chars):
         held = spark.sparkContext.broadcast(part)
-        one = source.mapInArrow(lambda it, held=held: _scan(it, held, gram, min_run, min_words), SCHEMA)
+        one = source.mapInArrow(lambda it, held=held: _scan(it, held, item_kind, gram, min_run, min_words), schema)
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -5,7 +5,7 @@ which keywords occur, and only their rules are tried, on the whole text. Detecti
 the rules; one whose interval lies within that of one already taken, or holds it, is suppressed. Those which merely overlap both stand.
 The operator is one pass without a shuffle.
 
-Defined cases: null or empty texts have no detections; equal intervals go to the higher priority, then the earlier rule; repeated rows each report theirs;
+Defined cases: a very long text is scanned whole; ids may be of any type; null or empty texts have no detections; equal intervals go to the higher priority, then the earlier rule; repeated rows each report theirs;
 rows with a null id report that null; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillstone.llm.common import frugal
 from quillstone.llm.license_rules import rules
 
-SCHEMA = "doc_id long, license string, rule string, priority int, start long, end long, matched string"
+SCHEMA = "license string, rule string, priority int, start long, end long, matched string"
 
 
 def gated(text: str) -> str:
@@ -65,8 +65,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _scanner:
         _scanner.append(Scanner())
     sc = _scanner[0]
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
     for b in batches:
+        kinds = (b.column(0).type, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
         cols: list[list] = [[] for _ in kinds]
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for s, e, n in sc.scan(t):
@@ -78,5 +78,5 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, rule, priority, start, end, matched)`` of each detection; ``matched`` is ``text[start:end]``."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    return source.mapInArrow(_scan, SCHEMA)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    return source.mapInArrow(_scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")

@@ -75,3 +75,11 @@ def test_items_in_parts_give_the_same(spark, docs):
     one = D.contaminated(d, bench(spark, *items))
     two = D.contaminated(d, bench(spark, *items), most_chars=10)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_ids_of_other_types(spark, docs):
+    words = " ".join(f"w{i}" for i in range(20))
+    d = docs((1, "a " + words), (2, "b")).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    bench = spark.createDataFrame([("q1", words)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.start) for r in D.contaminated(d, bench).collect()] == [("d1", "q1", 2)]
+    assert [r.doc_id for r in D.clean_rows(d, bench).collect()] == ["d2"]

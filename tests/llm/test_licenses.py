@@ -106,3 +106,8 @@ def test_optional_parts_of_apache_rules():
     for t in ("Licensed under the Apache Software License, Version 2.0", "the Apache Public License", header):
         assert sc.scan(t) == brute(t) != []
     assert [sc.rules[n][1] for _, _, n in sc.scan(header)] == [4]
+
+
+def test_ids_of_other_types(docs):
+    d = docs((1, "Licensed under the Apache License, Version 2.0")).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert {r.doc_id for r in L.detect(d).collect()} == {"d1"}
