@@ -135,3 +135,24 @@ def test_nulls_empty_ties_repeats_and_other_columns(docs, clashing):
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)] + [(50, 52, 1.0)], "a long, b long, jaccard double")
     assert {r.id: r.label for r in M.components(e).collect()} == {i: 0 for i in range(21)} | {50: 50, 52: 50}
+
+
+def test_leads_dealt_out_and_small_batches_give_the_same(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"z{rng.randrange(10**6)}" for w in base)) for i in range(150)] + [(500 + i, f"lone {i} words {i * i} of no {i + 7} group") for i in range(20)]
+    d = docs(*rows)
+    want = components_of(brute(rows))
+    monkeypatch.setattr(M, "SHARE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.doc_id: r.cluster_id for r in M.groups(d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 150
+
+
+def test_ids_of_other_types(docs):
+    d = docs((1, "one two three"), (2, "one two three"), (3, "four")).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert sorted((r.doc_id, r.cluster_id, r.kept) for r in M.groups(d).collect()) == [("d1", "d1", True), ("d2", "d1", False)]
+    assert sorted(r.doc_id for r in M.dedup(d).collect()) == ["d1", "d3"]
