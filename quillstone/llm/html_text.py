@@ -4,12 +4,15 @@ Pages become streams of words, with a token of its own before each block and at
 page, and a suffix array sorted by the first ``MIN_TOKENS`` tokens is built by prefix doubling. Suffixes that agree that far and stand on ``MIN_PAGES``
 distinct pages or more mark a repeated substring; longer ones are chains of such suffixes. Tokens covered by one are dropped, what is left is a page's text.
 
+A page of which nothing would be left is no boilerplate as a whole: it is an article under several addresses, or quoted in full. Of its windows of ``MIN_TOKENS`` tokens the rarest tell on how many pages it stands; if those are at most two,
+or a tenth of the host's pages, then what stands on no more pages than that is its own text and is kept, on each of its copies (which one of them stays is a matter of near-dedup), and only what stands on more pages is dropped.
+
 One shuffle, of extracted text by host. A host of more than ``BLOCK`` characters of markup is dealt out over blocks by a hash of the page, each with a suffix array
-of its own, so that no task grows with a host (about 40 bytes a token are held). What is repeated only across blocks is found by a 64-bit fingerprint of every window of
-``MIN_TOKENS`` tokens of such hosts: those of ``MIN_PAGES`` pages go back to the blocks that hold them, and count as if their own array had shown them. Results don't depend on the blocks.
+of its own, so that no task grows with a host (about 30 bytes a token are held). How many pages of such a host hold a window is counted over all its blocks, by a 64-bit fingerprint of every window; those of
+``MIN_PAGES`` pages go back to the blocks that hold them, and count there as if their own array had shown them. Results don't depend on the blocks.
 
-Defined cases: null or empty pages give empty text; a page without a host (null or malformed url) is compared with others of no host; rows that repeat a page_id
-are one page, so they don't make each other boilerplate; pages copied in full under other ids are repeated substrings as a whole, and come out empty; an
+Defined cases: null or empty pages give empty text; very long pages are taken whole; a page without a host (null or malformed url) is compared with others of no host; rows that repeat a page_id
+are one page, so they don't make each other boilerplate, and so are rows whose page_id is null; substrings that tie or overlap are all dropped; ids may be of any type; an
 empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
@@ -24,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillstone.llm.common import frugal, materialize, mix64
+from quillstone.llm.common import frugal, give_back, materialize, mix64
 
-MIN_TOKENS, MIN_PAGES, BLOCK = 8, 2, 128 << 20
+MIN_TOKENS, MIN_PAGES, BLOCK = 8, 2, 96 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
@@ -70,65 +73,86 @@ def _streams(texts: list[str]) -> tuple[list[str], list[np.ndarray], list[np.nda
     return list(words), streams, lines
 
 
-def repeated(ids: np.ndarray, page: np.ndarray, size: int = MIN_TOKENS, pages: int = MIN_PAGES, known: np.ndarray | None = None) -> np.ndarray:
-    """Which tokens lie in a substring of ``size`` tokens that stands on ``pages`` distinct pages, or starts at a place in ``known``.
+def page_counts(ids: np.ndarray, page: np.ndarray, size: int = MIN_TOKENS) -> np.ndarray:
+    """For each place, the number of distinct pages that hold the ``size`` tokens which start there (those of the separators are met once).
 
     ``ids`` are token ids below 2^31, unique for separators; ``page`` numbers the pages of the tokens.
     """
     n = len(ids)
-    covered = np.zeros(n, bool)
     if n < size:
-        return covered
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    have, order = 1, np.argsort(rank, kind="stable")
-    while have < size:  # ranks by the first ``have`` tokens to ranks by up to twice as many
+        return np.ones(n, np.int32)
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+    have, order = 1, None
+    while have < size or order is None:  # ranks by the first ``have`` tokens to ranks by up to twice as many
         step = min(have, size - have)
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
+        key = rank.astype(np.int64) * (n + 1)
+        if step:
+            key[:-step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
+        key = key[order]
+        new = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
         del key
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
-        del sorted_
-        rank, have = new, have + step
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(rank[order]) != 0]))
-    p = page[order]
-    if pages == 2:
-        many = np.minimum.reduceat(p, cut) != np.maximum.reduceat(p, cut)
-    else:
-        run = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, n)))
-        many = np.bincount(np.unique(np.stack([run, p], 1), axis=0)[:, 0], minlength=len(cut)) >= pages
-    starts = order[np.repeat(many, np.diff(np.append(cut, n)))]
-    if known is not None:
-        starts = np.union1d(starts, known)
+        rank[order] = new
+        have += step
+    run, p = rank[order], page[order]
+    cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    many = np.ones(len(cut), np.int32)
+    two = np.flatnonzero(np.minimum.reduceat(p, cut) != np.maximum.reduceat(p, cut))
+    if len(two):  # only runs that stand on several pages need counting
+        some = np.isin(run, run[cut[two]])
+        pair = np.unique((run[some].astype(np.int64) << 32) | p[some])
+        at, k = np.unique(pair >> 32, return_counts=True)
+        many[at] = k
+    out = np.empty(n, np.int32)
+    out[order] = many[run]
+    return out
+
+
+def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in a window of ``size`` tokens that starts at one of ``starts``."""
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + size, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def unique_runs(ids: list, texts: list[str], size: int = MIN_TOKENS, pages: int = MIN_PAGES, shared: np.ndarray | None = None) -> list[tuple[str, int, int]]:
-    """For the pages of one block of a host: the text that is left, tokens in all, and tokens dropped. ``shared``: fingerprints repeated over blocks."""
+def repeated(ids: np.ndarray, page: np.ndarray, size: int = MIN_TOKENS, pages: int = MIN_PAGES) -> np.ndarray:
+    """Which tokens lie in a substring of ``size`` tokens that stands on ``pages`` distinct pages."""
+    return covered(np.flatnonzero(page_counts(ids, page, size) >= pages), len(ids), size) if len(ids) >= size else np.zeros(len(ids), bool)
+
+
+def dropped(s: np.ndarray, n: np.ndarray, size: int, pages: int, host_pages: int) -> np.ndarray:
+    """Which tokens of a page go; ``s`` are its tokens (0: a break), ``n`` the number of pages that hold the window at each of its places."""
+    n = n[: max(len(s) - size + 1, 0)]
+    gone = covered(np.flatnonzero(n >= pages), len(s), size)
+    if (s > 0).any() and gone[s > 0].all() and (least := int(n[n >= pages].min())) <= max(2, host_pages // 10):
+        gone = covered(np.flatnonzero(n > least), len(s), size)
+    return gone
+
+
+def unique_runs(ids: list, texts: list[str], size: int = MIN_TOKENS, pages: int = MIN_PAGES, host_pages: int | None = None, shared: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int, int]]:
+    """For the pages of one block of a host: the text that is left, tokens in all, and tokens dropped. ``shared``: fingerprints that stand on several pages of the host (sorted), and on how many."""
     back, streams, lines = _streams(texts)
     number: dict = {}
     for i in ids:
         number.setdefault(i, len(number))
     ends = np.cumsum([len(s) + 1 for s in streams])
-    all_ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    all_ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
     page = np.repeat(np.array([number[i] for i in ids], np.int32), [len(s) + 1 for s in streams])
     for k, s in enumerate(streams):
         all_ids[ends[k] - 1 - len(s) : ends[k] - 1] = s
         all_ids[ends[k] - 1] = len(back) + k
-    known = None
-    if shared is not None and len(shared):
-        h = np.fromiter(map(token_hash, back), np.uint64, len(back))
-        known = np.concatenate([ends[k] - 1 - len(s) + np.flatnonzero(np.isin(fingerprints(h[s], size), shared)) for k, s in enumerate(streams)])
-    drop = repeated(all_ids, page, size, pages, known)
-    del all_ids
+    many = page_counts(all_ids, page, size)
+    del all_ids, page
+    h = np.fromiter(map(token_hash, back), np.uint64, len(back)) if shared is not None else None
     out = []
     for k, s in enumerate(streams):
-        gone = drop[ends[k] - 1 - len(s) : ends[k] - 1]
+        n = many[ends[k] - 1 - len(s) : ends[k] - 1]
+        if shared is not None and len(shared[0]):
+            f = fingerprints(h[s], size)
+            at = np.minimum(np.searchsorted(shared[0], f), len(shared[0]) - 1)
+            n[: len(f)] = np.where(shared[0][at] == f, shared[1][at], n[: len(f)])
+        gone = dropped(s, n, size, pages, len(number) if host_pages is None else host_pages)
         keep = np.flatnonzero(~gone & (s > 0))
         parts, last, line = [], -2, -1
         for j, x, ln in zip(keep.tolist(), s[keep].tolist(), lines[k][keep].tolist()):
@@ -141,7 +165,7 @@ def unique_runs(ids: list, texts: list[str], size: int = MIN_TOKENS, pages: int
 @frugal
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([page_text(h) if h else "" for h in b.columns[-1].to_pylist()], pa.string())], names=["page_id", "host", "block", "text"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([page_text(h) if h else "" for h in b.columns[-1].to_pylist()], pa.string())], names=["page_id", "host", "block", "pages", "text"])
 
 
 @frugal
@@ -156,13 +180,10 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def _across(source: DataFrame, size: int, min_pages: int) -> DataFrame:
-    """``(host, block, fp)``: fingerprints of hosts of several blocks that stand on ``min_pages`` pages, for each block that holds them."""
+    """``(host, block, fp, n)``: fingerprints of hosts of several blocks that stand on ``min_pages`` pages or more, and on how many, for each block that holds them."""
     w = source.where("blocks > 1").select("host", "block", F.xxhash64("page_id").alias("page"), "html").mapInArrow(lambda it: _windows(it, size), "host string, block int, page long, fp long")
-    if min_pages == 2:
-        many = w.groupBy("host", "fp").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.collect_set("block").alias("b")).where("lo < hi")
-    else:
-        many = w.groupBy("host", "fp").agg(F.count_distinct("page").alias("n"), F.collect_set("block").alias("b")).where(F.col("n") >= min_pages)
-    return many.select("host", F.explode("b").alias("block"), "fp")
+    many = w.groupBy("host", "fp").agg(F.count_distinct("page").cast("int").alias("n"), F.collect_set("block").alias("b")).where(F.col("n") >= min_pages)
+    return many.select("host", F.explode("b").alias("block"), "fp", "n")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", size: int = MIN_TOKENS, min_pages: int = MIN_PAGES, block: int = BLOCK) -> DataFrame:
@@ -172,17 +193,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sizes = source.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / block).cast("int").alias("blocks")).where("blocks > 1")
     sizes = materialize(sizes, "large-hosts")  # at most one row for each ``block`` characters
     large = not sizes.isEmpty()
-    if large:
-        source = source.join(F.broadcast(sizes), "host", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if large:  # the pages of such hosts are counted exactly; a null page_id is a page
+        ids = source.join(F.broadcast(sizes), "host", "left_semi").select("host", F.xxhash64("page_id").alias("p"))
+        sizes = F.broadcast(materialize(sizes.join(ids.groupBy("host").agg(F.count_distinct("p").alias("pages")), "host"), "large-host-pages"))
+        source = source.join(sizes, "host", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
-        source = source.withColumn("blocks", F.lit(1))
+        source = source.withColumn("blocks", F.lit(1)).withColumn("pages", F.lit(None).cast("long"))
     source = source.withColumn("block", F.pmod(F.xxhash64("page_id"), F.col("blocks")).cast("int"))
-    texts = source.select("page_id", "host", "block", "html").mapInArrow(_texts, f"page_id {kind}, host string, block int, text string")
+    texts = source.select("page_id", "host", "block", "pages", "html").mapInArrow(_texts, f"page_id {kind}, host string, block int, pages long, text string")
     out = f"page_id {kind}, host string, text string, n_tokens long, n_dropped long"
 
     def one(t: pa.Table, fps: pa.Table | None = None) -> pa.Table:
-        shared = None if fps is None or not len(fps) else fps.column("fp").to_numpy().view(np.uint64)
-        found = unique_runs(t.column("page_id").to_pylist(), t.column("text").to_pylist(), size, min_pages, shared)
+        shared = None
+        if fps is not None and len(fps):
+            fp, n = fps.column("fp").to_numpy().view(np.uint64), fps.column("n").to_numpy()
+            order = np.argsort(fp)
+            shared = fp[order], n[order]
+        found = unique_runs(t.column("page_id").to_pylist(), t.column("text").to_pylist(), size, min_pages, t.column("pages")[0].as_py() if len(t) else None, shared)
+        give_back()
         return pa.table([t.column("page_id"), t.column("host"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["page_id", "host", "text", "n_tokens", "n_dropped"])
 
     if not large:
