@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html.parser import HTMLParser
 from unicodedata import normalize as compose
 
@@ -125,6 +127,22 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of_sorted(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_of_at_least(least: float):
+    """``token_sort_ratio``, but null where the characters alone, whatever their order, keep it below ``least``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        counts: dict[str, Counter] = {}
+        out: list[float | None] = []
+        for x, y in zip(a, b):
+            cx, cy = (counts.get(s) or counts.setdefault(s, Counter(" ".join(s.split()))) for s in (x, y))
+            bound = 2.0 * (cx & cy).total() / max(cx.total() + cy.total(), 1)
+            out.append(None if bound < least - 1e-9 else ratio_of_sorted(x, y))
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """An upper bound of ``token_sort_ratio`` from the lengths of two normal forms: what can't reach a threshold needs no UDF."""
     la, lb = F.length(a), F.length(b)
@@ -140,11 +158,14 @@ def trigrams(normal: str) -> set[bytes]:
     return {b[i : i + 3] for i in range(max(1, len(b) - 2))}
 
 
+@lru_cache(1 << 16)  # names share most of their trigrams
+def _digests(gram: bytes) -> list[bytes]:
+    return [hashlib.blake2b(gram, digest_size=8, salt=p.to_bytes(2, "big")).digest() for p in range(PERMUTATIONS)]
+
+
 def signature(normal: str) -> list[int]:
     """Minima of keyed 64-bit digests, as signed integers so that they fit a long."""
-    grams = trigrams(normal)
-    salts = [p.to_bytes(2, "big") for p in range(PERMUTATIONS)]
-    least = [min(hashlib.blake2b(g, digest_size=8, salt=s).digest() for g in grams) for s in salts]
+    least = [min(d) for d in zip(*map(_digests, trigrams(normal)))]
     return [int.from_bytes(d, "big", signed=True) for d in least]
 
 

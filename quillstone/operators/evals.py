@@ -16,8 +16,15 @@ def accuracy(results: DataFrame, category: str) -> DataFrame:
     return results.groupBy(category).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok")).withColumn("percent", percent(F.col("n_ok"), F.col("n")))
 
 
+def table_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(sha, n)`` of a table of any size: the sum of 60-bit digests of its rows, which does not depend on their order and counts repeats. Every value is followed by a zero byte."""
+    one = F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.decode(F.unhex(F.lit("00")), "UTF-8")) for c in columns])
+    part = F.conv(F.substring(F.sha2(one, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.agg(F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("sha"), F.count("*").alias("n"))
+
+
 def corpus_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``(sha, n)``: 16 hex digits that do not depend on the rows' order. Every value is followed by a zero byte."""
+    """``(sha, n)``: 16 hex digits of a list of files, in order of its key, all at once; ``table_hash`` is for tables. Every value is followed by a zero byte."""
     one = F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.decode(F.unhex(F.lit("00")), "UTF-8")) for c in columns])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), one.alias("v")))), lambda x: x["v"]), "")
     return rows.agg(F.substring(F.sha2(text, 256), 1, 16).alias("sha"), F.count("*").alias("n"))

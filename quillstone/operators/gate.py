@@ -31,7 +31,7 @@ class Settings:
 
 
 def _words(q: Column) -> Column:
-    return F.filter(F.split(q, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(q, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")  # all that is white space in Unicode, not in ASCII alone
 
 
 def _clean(q: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstone.functions.text import lexical_tokens, lines
+from quillstone.plans.tables import materialize
 
 K1, B = 1.2, 0.75
 
@@ -24,13 +25,14 @@ def inverse_frequency(n: Column, df: Column) -> Column:
 
 
 def build(docs: DataFrame) -> Index:
-    """Index of ``docs (doc_id, text)``; ids must be unique."""
+    """Index of ``docs (doc_id, text)``, as tables in the shared folder; ids must be unique."""
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         raise ValueError("duplicate document ids")
-    t = docs.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    lengths = t.select("doc_id", F.size("t").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(t.select("doc_id", F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf")), lengths, stats)
+    t = docs.select("doc_id", F.explode(lexical_tokens(F.col("text"))).alias("term"))
+    postings = materialize(t.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")  # the one pass that reads texts
+    dl = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    lengths = materialize(docs.select("doc_id").join(dl, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("int").alias("dl")), "lengths")
+    return Index(postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def write(index: Index, path: str) -> Index:
@@ -69,9 +71,9 @@ def bm25_once(docs: DataFrame, text: str, k: int = 10) -> DataFrame:
     """One query over texts without an index: postings are made for its terms only, in one pass with one small aggregation."""
     spark = docs.sparkSession
     wanted = [r.t for r in spark.range(1).select(F.explode(F.array_distinct(lexical_tokens(F.lit(text)))).alias("t")).collect()]
-    t = docs.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    t = docs.select("doc_id", F.explode(F.array(lexical_tokens(F.coalesce("text", F.lit(""))))).alias("t"))  # behind a generator, texts are tokenised once and not for each use
     counts = [F.size("t") - F.size(F.array_remove("t", w)) for w in wanted]
-    rows = t.select("doc_id", F.size("t").alias("dl"), F.array(*counts).alias("tf"))
+    rows = materialize(t.select("doc_id", F.size("t").alias("dl"), F.array(*counts).alias("tf")), "counts")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(wanted))]).alias("df"))
 
     def part(i: int):

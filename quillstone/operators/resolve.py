@@ -11,7 +11,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillstone.functions.text import cosine, entropy, ngrams, norm, ratio_bound, round6, token_sort_ratio, tokens
+from quillstone.functions.text import entropy, ngrams, norm, ratio_bound, ratio_of_at_least, round6, tokens
+from quillstone.operators import dense
 from quillstone.sources.world import World
 
 COLUMNS = ["mention_ord", "surface", "canonical_id", "confidence", "tier"]
@@ -49,17 +50,24 @@ def _best(scored: DataFrame, threshold: float, tier: str) -> DataFrame:
 def fuzzy_scores(missed: DataFrame, world: World, least: float, settings: Settings) -> DataFrame:
     """``(mention_ord, surface, ids, score)`` for the pairs of mention and alias whose score can reach ``least``.
 
-    The entropy gate comes first and the bound from lengths is part of the join, so the UDF sees few pairs.
+    The entropy gate comes first. Two strings of lengths a and b match to 2 min(a, b) / (a + b) at most, so a mention meets only aliases of the lengths that can do: an equi-join on the length. Of those pairs the UDF drops what
+    their characters, whatever their order, keep below ``least``.
     """
-    m = missed.withColumn("m", norm(F.col("surface"))).where(entropy(F.col("m")) >= settings.least_entropy).withColumn("ml", F.length("m"))
+    m = missed.select("surface").distinct().withColumn("m", norm(F.col("surface"))).where(entropy(F.col("m")) >= settings.least_entropy).withColumn("ml", F.length("m"))
     g = world.normalized.groupBy("norm").agg(F.array_sort(F.collect_set("canonical_id")).alias("ids"))
-    pairs = m.join(g, ratio_bound(F.col("m"), F.col("norm")) >= least)
-    return pairs.select("mention_ord", "surface", "ids", token_sort_ratio("m", "norm").alias("score"))
+    able = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("ml") * (least / (2 - least)) - 1e-9).cast("int")), F.floor(F.col("ml") * ((2 - least) / least) + 1e-9).cast("int"))
+    pairs = m.withColumn("al", F.explode(able)).join(g.withColumn("al", F.length("norm")), "al").where(ratio_bound(F.col("m"), F.col("norm")) >= least)
+    scored = pairs.select("surface", "ids", ratio_of_at_least(least)("m", "norm").alias("score")).where("score is not null")
+    return missed.select("mention_ord", "surface").join(scored, "surface").select("mention_ord", "surface", "ids", "score")
 
 
 def vector_scores(missed: DataFrame, settings: Settings) -> DataFrame:
-    m = missed.join(settings.mention_vectors.withColumnRenamed("vector", "mv"), "surface")
-    return m.crossJoin(settings.alias_vectors).select("mention_ord", "surface", "ids", cosine(F.col("mv"), F.col("vector")).alias("score"))
+    """``(mention_ord, surface, ids, score)`` of the pairs whose score a later step can use: distinct surfaces are asked, in blocks, of all alias vectors."""
+    m = missed.select("surface").distinct().join(settings.mention_vectors, "surface").select(F.col("surface").alias("query_id"), "vector")
+    aliases = settings.alias_vectors.select(F.col("norm").alias("doc_id"), "ids", "vector")
+    least = min(settings.vector_threshold, settings.band[0]) if settings.arbiter else settings.vector_threshold
+    found = dense.scored(m, aliases, least)
+    return found.join(missed, F.col("query_id") == F.col("surface")).join(aliases.select("doc_id", "ids"), "doc_id").select("mention_ord", "surface", "ids", "score")
 
 
 def _arbitrate(pool: DataFrame, arbiter: Arbiter) -> DataFrame:

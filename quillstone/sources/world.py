@@ -9,11 +9,14 @@ import json
 from collections.abc import Iterable
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillstone.functions.text import norm
+from quillstone.plans.components import connected
 from quillstone.sources.schema import EDGE_COLUMNS, ENTITY, MERGE, RELATION, VERSION
 
+MOST_MERGES = 100_000  # that the driver replays
 RELATION_FIELDS = [f.name for f in RELATION.fields]
 
 
@@ -58,9 +61,18 @@ def union_find(merges: Iterable[tuple[str, str]]) -> dict[str, str]:
 
 
 def merge_map(spark: SparkSession, merges: DataFrame | None) -> DataFrame:
-    """``(child_id, root_id)`` of an ordered merge log, which people write and the driver can hold."""
-    log = [] if merges is None else [(r.source_id, r.target_id) for r in merges.orderBy("seq").toLocalIterator()]
-    return spark.createDataFrame(sorted(union_find(log).items()), "child_id string, root_id string")
+    """``(child_id, root_id)`` of an ordered merge log. Logs of more than ``MOST_MERGES`` are folded component by component on the cluster, as merges of different components don't touch."""
+    kind = "child_id string, root_id string"
+    if merges is None or merges.limit(MOST_MERGES + 1).count() <= MOST_MERGES:
+        log = [] if merges is None else [(r.source_id, r.target_id) for r in merges.orderBy("seq").toLocalIterator()]
+        return spark.createDataFrame(sorted(union_find(log).items()), kind)
+
+    def fold_log(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq", kind="stable")
+        return pd.DataFrame(sorted(union_find(list(zip(t.source_id, t.target_id))).items()), columns=["child_id", "root_id"])
+
+    label = connected(merges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+    return merges.join(label, merges.source_id == label.id).select("label", "seq", "source_id", "target_id").groupBy("label").applyInPandas(fold_log, kind)
 
 
 def _by_document(refs: Column) -> Column:

@@ -1,0 +1,143 @@
+"""Queries that SQL can't express, over whole tables against plain loops."""
+
+from collections import defaultdict
+from difflib import SequenceMatcher
+
+import pytest
+
+from quillstone.functions import text as t
+from quillstone.plans import catalog
+
+
+def by_tokens(x):
+    return " ".join(sorted(x.split()))
+
+
+def ratio(a, b):
+    return SequenceMatcher(None, by_tokens(a), by_tokens(b)).ratio()
+
+
+def test_resolve_fuzzy(spark, small):
+    parts = defaultdict(list)
+    for r in catalog._part_names(spark, small).collect():
+        parts[r.surface].append(r.canonical_id)
+    names = {t.normal_form(s): min(ids) for s, ids in parts.items()}
+    want = set()
+    for m in catalog._misspelt(spark, small).collect():
+        scored = {n: ratio(t.normal_form(m.surface), n) for n in names}
+        top = max(scored.values())
+        want |= {(m.mention_ord, names[n], round(x, 6)) for n, x in scored.items() if x == top and x >= 0.85}
+    got = catalog.QUERIES["resolve_fuzzy"](spark, small).collect()
+    assert {(r.mention_ord, r.canonical_id, r.confidence) for r in got} == want and {r.tier for r in got} == {"fuzzy"} and len(want) > 200
+
+
+def test_dedup_minhash(spark, small):
+    """Tier 1 by normal form; tier 2 over all pairs whose signatures share a band, folded in order."""
+    first = {}
+    verdicts = set()
+    for r in catalog._candidates(spark, small).orderBy("ord").collect():
+        n = t.normal_form(r.surface)
+        if n in first:
+            verdicts.add((first[n], r.ord, "same_form"))
+        first.setdefault(n, r.ord)
+    sig = {n: t.signature(n) for n in first}
+    pairs = sorted((first[a], first[b], a, b) for a in first for b in first if first[a] < first[b] and any(sig[a][k : k + 4] == sig[b][k : k + 4] for k in range(0, 32, 4)))
+    gone = set()
+    for i, j, a, b in pairs:
+        s = ratio(a, b)
+        if s >= 0.7 and i not in gone and j not in gone:
+            verdicts.add((i, j, "fuzzy" if s >= 0.85 else "review"))
+            if s >= 0.85:
+                gone.add(j)
+    verdicts |= {(i, None, "unique") for i in first.values() if i not in gone}
+    assert {tuple(r) for r in catalog.QUERIES["dedup_minhash"](spark, small).collect()} == verdicts
+
+
+def test_mmr_assemble(spark, small):
+    docs = {str(r.doc_id): r.text for r in catalog.table(spark, small, "documents").collect()}
+    got = catalog.QUERIES["mmr_assemble"](spark, small).collect()
+    assert len(got) == catalog.table(spark, small, "benchmark").count()
+    for r in got:
+        assert r.total_tokens <= catalog.BUDGET and 0 < len(r.doc_ids) == len(set(r.doc_ids)) <= 20
+        assert r.text == "\n\n".join(f"[[{i}]]\n{docs[i]}" for i in r.doc_ids)
+
+
+def test_candidates_across_documents(spark, small):
+    from quillstone.operators import authoring
+
+    docs, surfaces = defaultdict(set), defaultdict(set)
+    for r in catalog.table(spark, small, "documents").collect():
+        for s in authoring.extract(r.text or ""):
+            docs[t.normal_form(s)].add(r.doc_id)
+            surfaces[t.normal_form(s)].add(s)
+    want = {(n, len(d), min(surfaces[n])) for n, d in docs.items() if len(d) >= 2}
+    assert {(r.norm, r.n_docs, r.surface) for r in catalog.QUERIES["cross_doc_candidates"](spark, small).collect()} == want and want
+
+
+def test_retrieval_of_every_question(spark, small):
+    asked = {r.query_id: r.text for r in catalog._questions(spark, small).collect()}
+    got = {r.query_id: r for r in catalog.QUERIES["retrieve_e2e"](spark, small).collect()}
+    assert got.keys() == asked.keys()
+    for k in range(25):
+        r = got[k]
+        assert (r.strategy, r.stage, r.entities) == ("composite", 1, f"nation::{k},nation::{(k + 1) % 25}")
+        assert {f"nation::{k}", f"nation::{(k + 1) % 25}"} <= set(r.doc_ids) and r.total_tokens == 8 * len(r.doc_ids) <= 60
+    for k in (x for x in asked if 1000 <= x < 10**9):
+        assert got[k].entities == f"customer::{k - 1000}" and f"customer::{k - 1000}" in got[k].doc_ids
+    assert all(got[k].doc_ids is None for k in asked if got[k].strategy == "none")
+
+
+def test_gate_counts_words_between_blanks_of_any_kind(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import gate
+
+    q = spark.createDataFrame([("why\u00a0compare\u3000these\x1cnow",), ("why compare these now",)], "q string")
+    one, two = (r[0] for r in q.select(gate.complexity(F.col("q"))).collect())
+    assert one == two
+
+
+def test_long_merge_logs_fold_on_the_cluster(spark, monkeypatch):
+    import random
+
+    from quillstone.sources import world
+
+    rng = random.Random(3)
+    log = [(i, f"e{rng.randrange(40)}", f"e{rng.randrange(40)}") for i in range(30)]
+    merges = spark.createDataFrame(log, "seq int, source_id string, target_id string")
+    want = world.union_find([(a, b) for _, a, b in log])
+    monkeypatch.setattr(world, "MOST_MERGES", 0)
+    assert {r.child_id: r.root_id for r in world.merge_map(spark, merges).collect()} == want
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_dense_scores_against_plain_cosines(spark, k, monkeypatch):
+    import numpy as np
+
+    from quillstone.operators import dense
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(40, 3)).round(1)
+    v[3], v[7], v[9] = 0, v[8], v[8]
+    rows = [(f"d{i}", x.tolist()) for i, x in enumerate(v)] + [("none", None), ("empty", [])]
+    q, d = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows[:10])] + [(99, [])], "query_id int, vector array<double>"), spark.createDataFrame(rows, "doc_id string, vector array<double>")
+    monkeypatch.setattr(dense, "BLOCK", 4)
+
+    def cos(a, b):
+        a, b = np.array(a or []), np.array(b or [])
+        return float(a @ b / np.sqrt((a @ a) * (b @ b))) if len(a) == len(b) and len(a) and (a @ a) * (b @ b) > 0 else 0.0
+
+    want = {}
+    for i, x in [*((i, x) for i, (_, x) in enumerate(rows[:10])), (99, [])]:
+        best = sorted(((-round(cos(x, y), 10), n) for n, y in rows if round(cos(x, y), 10) >= 0), key=lambda z: z)
+        want[i] = [n for _, n in best[:k]]
+    if k:
+        got = defaultdict(list)
+        for r in dense.search(q, d.coalesce(1), k).orderBy("query_id", "rank0").collect():
+            got[r.query_id].append(r.doc_id)
+        assert got == want
+    else:
+        got = defaultdict(set)
+        for r in dense.scored(q, d).collect():
+            got[r.query_id].add(r.doc_id)
+        assert got == {i: set(x) for i, x in want.items()}
