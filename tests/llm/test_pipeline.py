@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from quillstone.llm import decontamination, langid, minhash, packing, pii, registry
+from quillstone.llm import decontamination, langid, minhash, pii, registry
 
 
 def test_stages():
@@ -31,15 +31,34 @@ def test_stages_against_the_operators(spark, small):
     assert sorted(map(str, run)) == sorted(map(str, packed))
 
 
-def test_empty_clashing_and_null_rows(spark, docs, clashing, small):
-    d = clashing(docs((None, "x y"), (1, None), (2, ""), (3, "the of and"), (3, "the of and")))
-    for name, stage in C.STAGES:
-        out = stage(spark, d, small)
-        if name != "packing":
-            assert out.columns == d.columns, name
-        out.collect()
-        assert stage(spark, docs(), small).count() == 0
+def test_odd_rows_through_all_stages(spark, clashing, small):
+    """Nulls, empty and very long texts, repeated rows and ties, among the small table's documents and more columns."""
+    base = spark.read.parquet(f"{small}/documents.parquet")
+    clean = [r for r in base.orderBy("doc_id").collect() if r.lang == "en" and 1000 < len(r.text) < 8000]
+    bad = {r.doc_id for r in decontamination.contaminated(base, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    clean = [r for r in clean if r.doc_id not in bad]
+    text, long = clean[0].text, "\n".join(r.text for r in clean) * 30
+    odd = [(None, text), (90001, None), (90002, ""), (90003, text), (90003, text), (90004, long), (90005, text.upper())]
+    docs = clashing(base.unionByName(spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t)) for i, t in odd], base.schema)))
+
+    def texts(df):
+        assert df.columns == docs.columns
+        return sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in df.collect() if r.doc_id is None or r.doc_id > 90000)
+
+    one = C.language(spark, docs, small)
+    assert texts(one) == sorted([(-1, text), (90003, text), (90003, text), (90004, long), (90005, text.upper())])
+    two = C.near_duplicates(spark, one, small)
+    assert texts(two) == sorted([(-1, text), (90004, long)])  # copies go, whatever their case; a row without an id is nobody's copy
+    three = C.decontaminate(spark, two, small)
+    assert texts(three) == sorted([(-1, text), (90004, long)])
+    four = C.sanitise(spark, three, small)
+    got = dict(texts(four))
+    assert got[90004] == {r.doc_id: r.text for r in pii.sanitize(three).collect()}[90004] and got[-1] == pii.rewrite(text)[0]
+    packed = [r for r in C.pack(spark, four, small).collect() if r.doc_id == 90004]
+    assert len(packed) > 1 and sum(r.n_tokens for r in packed) == len(got[90004].split())
 
 
-def test_packing_module_is_used():
-    assert packing.WINDOW % packing.BINS == 0
+def test_empty_tables(spark, docs, clashing, small):
+    for name, stage in C.STAGES:
+        out = stage(spark, clashing(docs()), small)
+        assert out.count() == 0 and (name == "packing" or out.columns == clashing(docs()).columns), name
