@@ -4,41 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from quillstone.plans.tables import materialize, shared_dir  # noqa: F401
 
 CHUNK_BYTES = 1 << 18
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is set to a local one only where the session names none (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = held.get() if held.isDefined() else None
-    if not d:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="quillstone-")
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage is cut, and a lost executor loses nothing.
-
-    The cluster's shared folder owns the files; the returned DataFrame is lazy, so they can't be deleted here.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def joined(left: DataFrame, right: DataFrame, on, how: str, most_rows: int) -> DataFrame:
     """Join with ``right`` (already materialised) broadcast if it has at most ``most_rows`` rows, else by shuffle."""
     return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)

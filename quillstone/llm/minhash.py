@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillstone.llm.common import fresh, frugal, join_hot, joined, materialize, mix64, named, numbered, word_hashes
+from quillstone.plans.components import connected
 
 SHINGLE, K, ROWS, THRESHOLD = 3, 128, 4, 0.55
 SMALL, SHARE = 2_000_000, 5_000
@@ -227,23 +228,6 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], names=["a", "b", "jaccard"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(id, label)``: the least id of each component of ``edges (a, b)``, by label propagation with pointer jumping.
-
-    Every round is a table in the shared folder; rounds grow with the logarithm of the components' diameter.
-    """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        told = labels.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("label").alias("far"))
-        new = materialize(told.join(jump, "mid", "left").select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
-        if new.where("old <> label").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
-
-
 def verified(cand: DataFrame, source: DataFrame, threshold: float, tag: str) -> DataFrame:
     """The pairs ``(a, b, jaccard)`` of ``cand`` whose shingle sets reach ``threshold``; the sets are made anew for the documents that take part."""
     n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -275,7 +259,7 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tup
     found = rows.repartition(int(n), "key").sortWithinPartitions("key", "id").mapInArrow(lambda it: _candidates(it, threshold - 0.2, threshold + 0.1), "a long, b long")
     cand = materialize(found.distinct(), "candidates")
     stars = verified(materialize(cand.groupBy("b").agg(F.min("a").alias("a")), "stars"), source, threshold, "near-stars")
-    lab = components(stars)
+    lab = connected(stars)
     side = [lab.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
     open_ = cand.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
     rest = verified(materialize(open_, "open"), source, threshold, "near-rest")
@@ -293,7 +277,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """``(doc_id, cluster_id, kept)`` for the documents of groups of two or more; cluster_id is the group's least doc_id, which is kept."""
     own, names = numbered(docs, id_col)
     same, near = _pairs(own, id_col, text_col, threshold)
-    lab = components(near)
+    lab = connected(near)
     out = same.join(lab.select(F.col("id").alias("a"), "label"), "a", "left").select(F.col("b").alias("doc_id"), F.coalesce("label", "a").alias("cluster_id"))
     heads = same.select("a").distinct().join(lab.select(F.col("id").alias("a"), "label"), "a", "left_anti").select(F.col("a").alias("doc_id"), F.col("a").alias("cluster_id"))
     out = out.unionByName(heads).unionByName(lab.select(F.col("id").alias("doc_id"), F.col("label").alias("cluster_id")))

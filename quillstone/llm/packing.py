@@ -3,12 +3,12 @@
 Lengths (tokens) are put into ``BINS`` bins of equal width up to the window, each bin standing for its greatest length. All combinations of up to ``DEPTH``
 bins that fill the window exactly are enumerated; non-negative least squares finds how often each should be used so that together they use up the histogram, a shortfall
 weighing little and an excess much. Counts are rounded down and fitted to what is there; the residue is packed greedily, longest first, a pattern at a time,
-so the driver's work depends on the number of bins and not on the data. Then every record is ranked within its bin and finds its
+so the driver's work depends on the number of bins and not on the data. Then every record is ranked within its bin (bins of more than ``SHARE`` rows are dealt out) and finds its
 window by its rank: the plan shuffles only (id, piece, length), never texts.
 
 Records longer than the window are cut into full windows and a rest, so every token is packed exactly once, and no window is overfull.
 
-Defined cases: null and empty texts have length 0 and window null; repeated rows and rows with a null id are packed each on their own (ties in rank go by id, then text hash);
+Defined cases: very long texts are cut as any other; null and empty texts have length 0 and window null; repeated rows and rows with a null id are packed each on their own (ties in rank go by id, then text hash);
 an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillstone.llm.common import materialize
 
 WINDOW, BINS, DEPTH = 2048, 128, 3
-SALTS = 64
+SHARE = 250_000  # rows of a bin that are ranked in one task
 
 
 def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -126,7 +126,7 @@ def length(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bins: int = BINS, depth: int = DEPTH, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bins: int = BINS, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
     """``(doc_id, piece, n_tokens, first_token, window_id, slot, window_offset)`` for each piece of each document."""
     if window % bins:
         raise ValueError("the window must be a multiple of the number of bins")
@@ -136,8 +136,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     pieces = F.when(F.col("len") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / window))).otherwise(F.array(F.lit(0).cast("long")))
     rows = base.select("doc_id", "x", "len", F.explode(pieces).alias("piece"))
     rows = rows.withColumn("n_tokens", F.least(F.lit(window), F.col("len") - F.col("piece") * window))
-    rows = rows.withColumn("bin", F.ceil(F.col("n_tokens") / width).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "x", "piece"), F.lit(salts)).cast("int"))
-    sizes = [(r.bin, r.salt, r.n) for r in rows.where("bin > 0").groupBy("bin", "salt").agg(F.count("*").alias("n")).orderBy("bin", "salt").collect()]  # bins x salts at most
+    rows = rows.withColumn("bin", F.ceil(F.col("n_tokens") / width).cast("int"))
+    counts = {r.bin: r.n for r in rows.where("bin > 0").groupBy("bin").agg(F.count("*").alias("n")).collect()}  # a row for each bin
+    shares = F.array(*[F.lit(-(-counts.get(b, 0) // share) or 1) for b in range(bins + 1)])[F.col("bin")]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "x", "piece"), shares).cast("int"))
+    sizes = [(r.bin, r.salt, r.n) for r in rows.where("bin > 0").groupBy("bin", "salt").agg(F.count("*").alias("n")).orderBy("bin", "salt").toLocalIterator()]  # a row for each bin, and one more for ``share`` rows
     histogram: Counter[int] = Counter()
     starts = []
     for b, s, n in sizes:

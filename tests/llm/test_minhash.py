@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quillstone.llm import common, minhash as M, registry
+from quillstone.plans.components import connected
 
 
 def sets_of(rows):
@@ -134,7 +135,7 @@ def test_nulls_empty_ties_repeats_and_other_columns(docs, clashing):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)] + [(50, 52, 1.0)], "a long, b long, jaccard double")
-    assert {r.id: r.label for r in M.components(e).collect()} == {i: 0 for i in range(21)} | {50: 50, 52: 50}
+    assert {r.id: r.label for r in connected(e).collect()} == {i: 0 for i in range(21)} | {50: 50, 52: 50}
 
 
 def test_leads_dealt_out_and_small_batches_give_the_same(spark, docs, monkeypatch):
