@@ -150,3 +150,31 @@ def test_words_are_scored_in_their_order(spark, docs, small):
     for i, w in enumerate(some + mixed):
         assert r[i].n_words == len(w) and r[i].word_log2_prob == pytest.approx(score(w), rel=1e-6)
     assert all(r[i].log2_prob == pytest.approx(r[i + len(some)].log2_prob) and r[i].bits_per_word < r[i + len(some)].bits_per_word for i in range(len(some)))
+
+
+def test_the_corpus_by_itself_is_scored_as_by_its_broadcast_filter(spark, small, clashing, monkeypatch):
+    """Rows repeated often, null ids, no text; many buckets and chunks; nothing is broadcast, whatever the size."""
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    none = spark.createDataFrame([(None, "", "en", "s", 0), (None, None, "en", "s", 0), (None, "ab ab", "en", "s", 5), (3, " \n", "en", "s", 2)], d.schema)
+    d = d.unionByName(d.where("doc_id < 9")).unionByName(none).unionByName(spark.range(50).selectExpr("7L doc_id", "'twice said is said twice' text", "'en' lang", "'s' source", "24L n_chars"))
+    monkeypatch.setattr(N, "BUCKET_CHARS", 20_000)
+    m = N.train(d, bucket_chars=20_000)
+    assert m.depth > 3
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_symbols, r.n_words)
+    want = sorted(N.score(d, model=m).collect(), key=key)
+
+    def broadcast(*_):
+        raise AssertionError("a filter was broadcast")
+
+    monkeypatch.setattr(N.Model, "filter", broadcast)
+    got = sorted(N.score(clashing(d), chunk_chars=50_000).collect(), key=key)
+    assert got == want and len(got) == d.count()
+
+
+def test_what_is_sent_is_small():
+    """4 bytes for an n-gram at 30,000 to a bucket and chunk, near the 3.5 that random keys need."""
+    rng = np.random.default_rng(8)
+    key = np.unique(rng.integers(0, 1 << 40, 30_000).astype(np.uint64))
+    x = N.packed(key, np.where(rng.random(len(key)) < 0.1, 2, 1))
+    assert (N.unplanes(N.planes(x)) == x).all() and len(N.planes(x)) < 4 * len(x)
+    assert len(N.unplanes(N.planes(x[:0]))) == 0
