@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillstone.functions.text import entropy, ngrams, norm, ratio_bound, ratio_of_at_least, round6, tokens
+from quillstone.functions.text import computed, entropy, ngrams, norm, ratio_bound, ratio_of_at_least, round6, tokens
 from quillstone.operators import dense
 from quillstone.sources.world import World
 
@@ -130,8 +130,10 @@ def scan(queries: DataFrame, gazetteer: DataFrame, normalize: Callable[[Column],
     """
     if most is None:
         most = gazetteer.select(F.max(F.size(F.split("norm", " ")))).first()[0] or 0
-    normal = queries.select("query_id", normalize(F.col("text")).alias("n"))
-    grams = normal.select("query_id", F.explode(ngrams(tokens(F.col("n")), max(most, 1))).alias("g")).select("query_id", "g.*")
+    spread = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")  # by number: few bytes of short texts make many runs of words, which one task would have to make
+    normal = spread.select("query_id", normalize(F.col("text")).alias("n"))
+    words = computed(normal, "words", tokens(F.col("n")))
+    grams = words.select("query_id", F.explode(ngrams(F.col("words"), max(most, 1))).alias("g")).select("query_id", "g.*")
     found = grams.join(gazetteer.select(F.col("norm").alias("gram"), "ids"), "gram")
     per = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("neg_len"), "start", "gram", "ids"))).alias("m"))
     kept = per.select("query_id", F.explode(_suppress(F.col("m"))).alias("k")).groupBy("query_id", F.col("k.gram").alias("surface"), F.col("k.ids").alias("ids")).agg(F.min("k.start").alias("start"))

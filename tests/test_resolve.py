@@ -2,6 +2,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.functions.text import normal_form
 from quillstone.operators import resolve
@@ -93,3 +94,13 @@ def test_fuzzy_against_brute_force(spark, small):
         score = {f"p::{i}": difflib.SequenceMatcher(None, " ".join(sorted(normal_form(a).split())), " ".join(sorted(n.split()))).ratio() for i, n in enumerate(names)}
         best = max(score.values())
         assert sorted(g[1] for g in got if g[0] == k) == sorted(i for i, s in score.items() if s == best >= 0.85)
+
+
+def test_scan_is_spread_and_splits_texts_once(spark):
+    """Texts of one partition are dealt out before their runs of words are made, and no run splits its text again."""
+    q = spark.range(50).coalesce(1).select(F.col("id").alias("query_id"), F.concat(F.lit("we met open ai and ai no "), "id").alias("text"))
+    g = spark.createDataFrame([("open ai", ["a"]), ("ai", ["b"])], "norm string, ids array<string>")
+    out = resolve.scan(q, g)
+    assert {(r.query_id, r.start, r.canonical_id) for r in out.collect()} == {x for i in range(50) for x in ((i, 2, "a"), (i, 5, "b"))}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "RepartitionByExpression [query_id" in plan
