@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHOSEN = "query_id {key}, doc_id string, print long, tokens int, rel double, mmr_score double, pick int"
 
@@ -17,7 +21,16 @@ def _id_key(name: str) -> list[int]:
 def choose(tokens: list[int], rel: list[float], ids: list[str], vectors: list[list[float] | None], budget: int, lam: float, duplicate: float) -> list[tuple[int, float]]:
     """(index, value) in order of choice by maximal marginal relevance. The greatest similarity to what is chosen is kept up as it grows; what no longer fits or is too similar
     can't come back, so it is dropped for good."""
-    at = np.array(sorted(range(len(ids)), key=lambda i: (rel[i], _id_key(ids[i])), reverse=True), int)  # of equal values the first is best
+    order = sorted(range(len(ids)), key=lambda i: (rel[i], _id_key(ids[i])), reverse=True)  # of equal values the first is best
+    if duplicate > 0 and not any(v is not None and len(v) for v in vectors):  # nothing is like anything, so the order is the choice
+        picks, named, left = [], set(), budget
+        for i in order:
+            if tokens[i] <= left and ids[i] not in named:
+                picks.append((i, float(lam * rel[i])))
+                named.add(ids[i])
+                left -= tokens[i]
+        return picks
+    at = np.array(order, int)
     size, worth, name = np.asarray(tokens)[at], np.asarray(rel, float)[at], pd.factorize(np.asarray(ids, object)[at])[0]
     dims, units = np.zeros(len(at), int), {}
     row = np.zeros(len(at), int)
@@ -48,16 +61,34 @@ def choose(tokens: list[int], rel: list[float], ids: list[str], vectors: list[li
 
 
 def choice(candidates: DataFrame, lam: float = 0.5, duplicate: float = 0.95) -> DataFrame:
-    """Chosen rows of ``candidates (query_id, doc_id, print, tokens, rel, embedding, budget)``, which hold no contents; each query is a group of its own. ``print`` tells rows of one doc_id apart."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["doc_id", "print"], kind="stable").reset_index(drop=True)
-        picks = choose(g.tokens.tolist(), g.rel.tolist(), g.doc_id.tolist(), g.embedding.tolist(), int(g.budget.iloc[0]), lam, duplicate)
-        c = g.loc[[i for i, _ in picks], ["query_id", "doc_id", "print", "tokens", "rel"]]
-        return c.assign(mmr_score=[float(v) for _, v in picks], pick=range(len(picks)))
-
-    c = candidates.select("query_id", "doc_id", "print", F.col("tokens").cast("int").alias("tokens"), "rel", "embedding", "budget")
-    return c.groupBy("query_id").applyInPandas(run, CHOSEN.format(key=candidates.schema["query_id"].dataType.simpleString()))
+    """Chosen rows of ``candidates (query_id, doc_id, print, tokens, rel, embedding, budget)``, which hold no contents; each query is a group of its own, many of which share a batch. ``print`` tells rows of one doc_id apart."""
+
+    key = candidates.schema["query_id"].dataType
+    kinds = [to_arrow_type(key), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32()]
+
+    def picked(g: list[tuple]) -> list[tuple]:
+        q, ids, prints, tokens, rel, vectors, budget = zip(*g)
+        return [(q[i], ids[i], prints[i], tokens[i], rel[i], v, n) for n, (i, v) in enumerate(choose(tokens, rel, ids, vectors, int(budget[0]), lam, duplicate))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # rows of a query that may go on in the next batch
+
+        def chosen(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=["query_id", "doc_id", "print", "tokens", "rel", "mmr_score", "pick"])
+
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and row[0] != held[0][0]:
+                    out += picked(held)
+                    held = []
+                held.append(row)
+            yield chosen(out)
+        if held:
+            yield chosen(picked(held))
+
+    c = candidates.select("query_id", "doc_id", "print", F.col("tokens").cast("int").alias("tokens"), F.col("rel").cast("double").alias("rel"), "embedding", "budget")
+    return c.repartition("query_id").sortWithinPartitions("query_id", "doc_id", "print").mapInArrow(run, CHOSEN.format(key=key.simpleString()))
 
 
 def select(candidates: DataFrame, lam: float = 0.5, duplicate: float = 0.95) -> DataFrame:

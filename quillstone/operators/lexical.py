@@ -10,6 +10,7 @@ from quillstone.functions.text import lexical_tokens, lines
 from quillstone.plans.tables import materialize
 
 K1, B = 1.2, 0.75
+SLACK = 1e-6  # by which sums in another order may differ, and far more
 
 
 @dataclass(frozen=True)
@@ -44,14 +45,22 @@ def write(index: Index, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats")))
 
 
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
+
+
+def _parts(hits: DataFrame, df: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """``(term, doc_id, part)``: what a term adds to a document's score."""
+    idf = inverse_frequency(F.col("n"), F.col("df"))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return hits.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", part.alias("part"))
+
+
 def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """``(query_id, doc_id, score)`` of ``queries (query_id, text)``: terms count once, documents need one of them."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
+    terms = _terms(queries)
     live = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = live.groupBy("term").agg(F.count("*").alias("df"))
-    idf = inverse_frequency(F.col("n"), F.col("df"))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hit = live.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", part.alias("part"))
+    hit = _parts(live.join(index.lengths, "doc_id"), live.groupBy("term").agg(F.count("*").alias("df")), index.stats, k1, b)
     summed = hit.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
     return summed.withColumn("score", F.round("score", 10))  # equal documents tie, whatever order their terms were summed in
 
@@ -64,7 +73,40 @@ def top(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
 
 
 def search(queries: DataFrame, index: Index, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    return top(scores(queries, index, k1, b), k)
+    """The ``k`` best of ``scores``, with their rank from 0; what can't be among them is not scored.
+
+    A query's score to beat is the ``k``-th best of the sums over the documents in which its terms add most. Its terms that can't reach that even together only add to documents which others find, and only to those that may
+    still get there. Or, where that leaves less to do, it is the commonest term alone that isn't spread: a document that has no other of the terms comes after those in which that one adds more, of which ``k`` are enough.
+    """
+    terms = materialize(_terms(queries), "terms")
+    live = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = materialize(live.groupBy("term").agg(F.count("*").alias("df")), "df")
+    parts = materialize(_parts(live.join(index.lengths, "doc_id"), df, index.stats, k1, b), "parts")
+    best = parts.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc(F.round("part", 10)), "doc_id"))).where(F.col("r") <= k)
+    best = materialize(best, "best")
+
+    def kth(sums: DataFrame) -> DataFrame:
+        return sums.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("s").alias("beat"))
+
+    known = kth(best.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("s")))
+    most = terms.join(best.where("r = 1").select("term", F.col("part").alias("most")), "term").join(df, "term").join(known, "query_id", "left")
+    own = Window.partitionBy("query_id")
+    together = F.sum("most").over(own.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    most = most.withColumn("low", F.coalesce(together < F.col("beat") - SLACK, F.lit(False))).withColumn("common", F.row_number().over(own.orderBy(F.desc("df"), "term")) == 1)
+    fill = F.sum(F.when(~F.col("common"), F.col("df")).otherwise(0)).over(own) < F.sum(F.when(~F.col("low"), F.col("df")).otherwise(0)).over(own)
+    weighed = materialize(most.withColumn("fill", fill).withColumn("weak", F.when(F.col("fill"), F.col("common")).otherwise(F.col("low"))), "weighed")
+    weak, strong = weighed.where("weak"), weighed.where("not weak")
+    found = parts.join(strong.select("query_id", "term"), "term").select("query_id", "doc_id", F.col("part").alias("s"))
+    first = best.join(weak.where("fill").select("query_id", "term"), "term").select("query_id", "doc_id", F.lit(0.0).alias("s"))
+    sums = materialize(found.unionByName(first).groupBy("query_id", "doc_id").agg(F.sum("s").alias("s")), "sums")
+    zero = F.lit(0.0)
+    bars = materialize(weak.groupBy("query_id").agg(F.sum("most").alias("rest"), F.max("beat").alias("known")).join(kth(sums), "query_id", "left").select("query_id", "rest", F.greatest("known", F.coalesce("beat", zero)).alias("bar")), "bars")
+    able = materialize(sums.join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar") - SLACK)).select("query_id", "doc_id", "s"), "able")
+    asked = able.join(weak.select("query_id", "term"), "query_id")
+    near = parts.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").join(weak.select("term").distinct(), "term", "left_semi")
+    more = asked.join(near, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("part").alias("more"))
+    full = able.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("s") + F.coalesce("more", zero), 10).alias("score"))
+    return top(full, k)
 
 
 def bm25_once(docs: DataFrame, text: str, k: int = 10) -> DataFrame:

@@ -227,3 +227,40 @@ def test_whole_documents_are_assembled(spark, small, tmp_path):
     for r in got:
         assert r.text == "\n\n".join(f"[[{i}]]\n{rows[i].text}" for i in r.doc_ids) and r.total_tokens == sum(rows[i].n_chars // 4 for i in r.doc_ids) <= catalog.BUDGET
     assert any(int(i) >= 20 for r in got for i in r.doc_ids)  # documents without a vector take part
+
+
+def test_phrases_are_counted_on_words_split_once(spark):
+    d = spark.createDataFrame([("d", "of the end of the of")], "doc_id string, n string").select("doc_id", F.split("n", " ").alias("tokens"))
+    g = spark.createDataFrame([("of the", ["x"]), ("of", ["y"])], "norm string, ids array<string>")
+    out = links.phrase_counts(d, g, 2)
+    assert {(r.canonical_id, r.tf) for r in out.collect()} == {("x", 2), ("y", 3)} and out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_search_scores_few_documents_and_loses_none(spark, monkeypatch):
+    """A term that all documents have is not spread over all of them for each query, and what is returned is what scoring all returns."""
+    import random
+
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(40)]
+    d = spark.createDataFrame([("d%03d" % i, " ".join(["all"] * rng.randint(1, 2) + ["most"] * (i % 5 > 0) + rng.choices(words, k=rng.randint(0, 6)))) for i in range(300)], "doc_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(["all"] * (i % 7 > 0) + ["most"] * (i % 3) + rng.sample(words, i % 4))) for i in range(60)], "query_id int, text string")
+    held = {}
+    monkeypatch.setattr(lexical, "materialize", lambda df, tag: held.setdefault(tag, df.localCheckpoint()))
+    i = lexical.build(d)
+    got = {(r.query_id, r.doc_id, r.rank0, r.score) for r in lexical.search(q, i, 5).collect()}
+    assert got == {(r.query_id, r.doc_id, r.rank0, r.score) for r in lexical.top(lexical.scores(q, i), 5).collect()} and len(got) > 250
+    assert held["sums"].count() < lexical.scores(q, i).count() / 2
+
+
+def test_choice_takes_many_queries_from_a_batch(spark):
+    """Queries share batches; without vectors the choice is that of the general way."""
+    rows = [(q, "d%d" % (j % 7), j, 3 + (q * j) % 5, ((q * 7 + j * 5) % 11) / 10, None, 12) for q in range(40) for j in range(9)]
+    kind = "query_id long, doc_id string, print long, tokens int, rel double, embedding array<double>, budget int"
+    got = {(r.query_id, r.doc_id, r.print, r.pick, r.mmr_score) for r in assemble.choice(spark.createDataFrame(rows, kind)).collect()}
+    want = set()
+    for q in range(40):
+        g = sorted((r for r in rows if r[0] == q), key=lambda r: (r[1], r[2]))
+        far = [[1.0 if a == b else 0.0 for a in range(len(g))] for b in range(len(g))]  # vectors at right angles: the general way
+        picks = assemble.choose([r[3] for r in g], [r[4] for r in g], [r[1] for r in g], far, 12, 0.5, 0.95)
+        want |= {(q, g[i][1], g[i][2], n, v) for n, (i, v) in enumerate(picks)}
+    assert got == want
