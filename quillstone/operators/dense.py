@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.operators.lexical import top
 
 BLOCK = 1024  # queries that are broadcast at once
+ROWS = 32  # and multiplied at once
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -57,6 +59,19 @@ def _unit(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array([i for i, _ in rows]), np.array([x for _, x in rows])) for n, rows in out.items()}
 
 
+def _unit_column(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``_unit`` of an Arrow column, without a Python object for each number."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+    out = {}
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        x = np.asarray(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
+        norm = np.sqrt((x * x).sum(axis=1))
+        if (norm > 0).any():
+            out[n] = at[norm > 0], x[norm > 0] / norm[norm > 0, None]
+    return out
+
+
 def scored(queries: DataFrame, vectors: DataFrame, floor: float = 0.0, k: int | None = None) -> DataFrame:
     """``(query_id, doc_id, score)`` of cosine ``floor`` or more, to ten decimals (so that equal vectors tie); of each batch of vectors the ``k`` best of a query, ties to the smaller id.
 
@@ -72,14 +87,19 @@ def scored(queries: DataFrame, vectors: DataFrame, floor: float = 0.0, k: int |
         for b in batches:
             ids = b.column(0).to_pylist()
             rank = np.argsort(np.argsort(np.array([str(i) for i in ids]) if ids and not isinstance(ids[0], (int, float)) else np.array(ids), kind="stable"), kind="stable")
-            own = _unit(b.column(1).to_pylist())
+            own = _unit_column(b.column(1))
             for n, (q_at, q_rows) in asked.items():
-                s = np.zeros((len(q_at), len(ids)))
-                if n in own:
-                    s[:, own[n][0]] = q_rows @ own[n][1].T
-                yield from _best(names, q_at, ids, rank, np.round(s, 10) + 0.0, floor, k, kinds)
+                for lo in range(0, len(q_at), ROWS):  # a few queries at a time: what a task holds doesn't grow with their number
+                    s = np.zeros((len(q_at[lo : lo + ROWS]), len(ids)))
+                    if n in own:
+                        s[:, own[n][0]] = q_rows[lo : lo + ROWS] @ own[n][1].T
+                    np.round(s, 10, out=s)
+                    s += 0.0
+                    yield _best(names, q_at[lo : lo + ROWS], ids, rank, s, floor, k, kinds)
             if floor <= 0 and (blank := sorted(set(range(len(names))) - {i for at, _ in asked.values() for i in at.tolist()})):
-                yield from _best(names, np.array(blank), ids, rank, np.zeros((len(blank), len(ids))), floor, k, kinds)
+                for lo in range(0, len(blank), ROWS):
+                    some = np.array(blank[lo : lo + ROWS])
+                    yield _best(names, some, ids, rank, np.zeros((len(some), len(ids))), floor, k, kinds)
 
     out, block = None, []
 
@@ -99,17 +119,15 @@ def scored(queries: DataFrame, vectors: DataFrame, floor: float = 0.0, k: int |
     return out
 
 
-def _best(names: list, q_at: np.ndarray, ids: list, rank: np.ndarray, s: np.ndarray, floor: float, k: int | None, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(q_at), 256):
-        part = s[lo : lo + 256]
-        if k is not None and k < part.shape[1]:
-            order = np.lexsort((np.broadcast_to(rank, part.shape), -part), axis=1)[:, :k]
-            row, col = np.repeat(np.arange(len(part)), k), order.ravel()
-            ok = part[row, col] >= floor
-            row, col = row[ok], col[ok]
-        else:
-            row, col = np.nonzero(part >= floor)
-        yield pa.RecordBatch.from_arrays([pa.array([names[q_at[lo + i]] for i in row.tolist()], kinds[0]), pa.array([ids[j] for j in col.tolist()], kinds[1]), pa.array(part[row, col])], names=["query_id", "doc_id", "score"])
+def _best(names: list, q_at: np.ndarray, ids: list, rank: np.ndarray, s: np.ndarray, floor: float, k: int | None, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    if k is not None and k < s.shape[1]:
+        order = np.lexsort((np.broadcast_to(rank, s.shape), -s), axis=1)[:, :k]
+        row, col = np.repeat(np.arange(len(s)), k), order.ravel()
+        ok = s[row, col] >= floor
+        row, col = row[ok], col[ok]
+    else:
+        row, col = np.nonzero(s >= floor)
+    return pa.RecordBatch.from_arrays([pa.array([names[q_at[i]] for i in row.tolist()], kinds[0]), pa.array([ids[j] for j in col.tolist()], kinds[1]), pa.array(s[row, col])], names=["query_id", "doc_id", "score"])
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 10, floor: float = 0.0) -> DataFrame:

@@ -264,3 +264,14 @@ def test_choice_takes_many_queries_from_a_batch(spark):
         picks = assemble.choose([r[3] for r in g], [r[4] for r in g], [r[1] for r in g], far, 12, 0.5, 0.95)
         want |= {(q, g[i][1], g[i][2], n, v) for n, (i, v) in enumerate(picks)}
     assert got == want
+
+
+def test_vectors_of_a_column_are_scored_a_few_queries_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    given = [[3.0, 4.0], None, [], [0.0, 0.0], [1.0, 2.0, 2.0], [0.0, 2.0]]
+    want, got = dense._unit(given), dense._unit_column(pa.array(given, pa.list_(pa.float64())))
+    assert want.keys() == got.keys() and all(np.array_equal(want[n][i], got[n][i]) for n in want for i in (0, 1))
+    b = dense._best(["a", "b"], np.array([0, 1]), [7, 8, 9], np.array([0, 1, 2]), np.array([[0.5, 0.9, 0.5], [0.1, 0.0, 0.2]]), 0.1, 2, [pa.string(), pa.int64(), pa.float64()])
+    assert b.to_pylist() == [{"query_id": q, "doc_id": d, "score": s} for q, d, s in (("a", 8, 0.9), ("a", 7, 0.5), ("b", 9, 0.2), ("b", 7, 0.1))] and dense.ROWS <= 64
