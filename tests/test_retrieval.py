@@ -275,3 +275,12 @@ def test_vectors_of_a_column_are_scored_a_few_queries_at_a_time():
     assert want.keys() == got.keys() and all(np.array_equal(want[n][i], got[n][i]) for n in want for i in (0, 1))
     b = dense._best(["a", "b"], np.array([0, 1]), [7, 8, 9], np.array([0, 1, 2]), np.array([[0.5, 0.9, 0.5], [0.1, 0.0, 0.2]]), 0.1, 2, [pa.string(), pa.int64(), pa.float64()])
     assert b.to_pylist() == [{"query_id": q, "doc_id": d, "score": s} for q, d, s in (("a", 8, 0.9), ("a", 7, 0.5), ("b", 9, 0.2), ("b", 7, 0.1))] and dense.ROWS <= 64
+
+
+def test_candidates_are_held_for_a_few_texts_at_a_time():
+    import pandas as pd
+
+    n = 2 * authoring.SLICE + 1
+    texts = pd.DataFrame({"source": list(map(str, range(n))), "text": ["we met Ada Lovelace. Then Alan Turing"] * n})
+    frames = list(authoring._found(texts, authoring.extract, "person", "heuristic"))
+    assert [len(f) for f in frames] == [2 * authoring.SLICE, 2 * authoring.SLICE, 2] and list(frames[2].surface) == ["Ada Lovelace", "Alan Turing"]
